@@ -25,6 +25,10 @@ from pointloom.llm.common import documents, fold, only, unit_hash
 SAMPLE_DOCS, SLICE_CHARS = 400, 512
 HIDDEN, WINDOW, BATCH = 8, 64, 4096
 STEPS, TRAIN_BATCH, TRAIN_BYTES, RATE = 260, 384, 32, 0.02
+#: Folds of the contract: a document is held out where crc32(doc_id) mod 5 is 0.
+FOLDS = 5
+#: Documents whose best language has a lower mean probability are rejected by :func:`keep`.
+LEAST = 0.4
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -212,32 +216,43 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return langs, train([s.encode() for _, s in rows], np.array([at[lang] for lang, _ in rows]), len(langs))
 
 
+def verdicts(model: tuple[list[str], dict | None], texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and score of every text."""
+    langs, net = model
+    known = [t is not None and net is not None and LETTER.search(t) is not None for t in texts]
+    best, score = ["und"] * len(texts), [0.0] * len(texts)
+    if any(known):
+        p = score_texts(net, [t if k else None for t, k in zip(texts, known)])
+        top = p.argmax(1)
+        for i in np.flatnonzero(known):
+            best[i], score[i] = langs[top[i]], min(1.0, float(p[i, top[i]]))
+    return best, score
+
+
+def keep(df: DataFrame, model: tuple[list[str], dict | None], text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """The rows of ``df`` whose language is known with at least this score, with all their columns."""
+
+    def run(batches):
+        for batch in batches:
+            best, score = verdicts(model, batch.column(text_col).to_pylist())
+            good = [lang != "und" and s >= least for lang, s in zip(best, score)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def predict(df: DataFrame, model: tuple[list[str], dict | None], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row."""
-    langs, net = model
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            known = [t is not None and net is not None and LETTER.search(t) is not None for t in texts]
-            best, score = ["und"] * len(texts), [0.0] * len(texts)
-            if any(known):
-                p = score_texts(net, [t if k else None for t, k in zip(texts, known)])
-                top = p.argmax(1)
-                for i in np.flatnonzero(known):
-                    best[i], score[i] = langs[top[i]], min(1.0, float(p[i, top[i]]))
+            best, score = verdicts(model, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], [id_col, "lang_pred", "score"])
 
     return only(df, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
-#: Folds of the contract: a document is held out where crc32(doc_id) mod 5 is 0.
-FOLDS = 5
-#: Documents whose best language has a lower mean probability are rejected by the pipeline.
-LEAST = 0.4
-
-
 def identify(df: DataFrame) -> DataFrame:
     model = fit(df, trains=fold(F.col("doc_id"), FOLDS) != 0)
     return predict(df, model).withColumn("held_out", fold(F.col("doc_id"), FOLDS) == 0)

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from pointloom.llm import exact_dedup, language, mixing, packing, quality_rules
+import corpus_pipeline
+from pointloom.llm import exact_dedup, jaccard, language, mixing, packing, quality_rules
 
 
 def queries():
-    found = {
+    return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_jaccard": jaccard.op2_jaccard,
         "op4_language": language.op4_language,
         "op6_mixing": mixing.op6_mixing,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_packing": packing.op9_packing,
+        "pipeline": corpus_pipeline.run,
     }
-    return found
 
 
 def oracle_sql():
     return {
         "op1_quality_rules": quality_rules.ORACLE,
+        "op2_jaccard": jaccard.ORACLE,
         "op6_mixing": mixing.ORACLE,
         "op8_exact_dedup": exact_dedup.ORACLE,
     }

@@ -12,7 +12,8 @@ share at least l of the first (size - least overlap + l) shingles of either, for
   written plus list entries scanned, by the sketch's counts - is least.
 
 A list or subset group is scanned in two steps, so a group of near copies never becomes all its pairs.
-First every member meets the group's hub (its smallest set); the pairs that pass the size and position
+First every member meets the group's hub, the set with fewest rarer shingles of its own (of a group of
+copies, the one nearest their origin); the pairs that pass the size and position
 bounds are verified on whole sets, and linked sets get a component. Then only groups that still span
 several components yield pairs across them, under the same bounds. Every link lies in some group, hence
 either inside one component or among the pairs verified in the second step: the components are exact.
@@ -256,7 +257,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = named.join(same.select(F.col("cid").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     classes = stored(classes.select(F.col("id").alias("cid"), "n", "prefix", "scanned"), "class-prefixes")
     posted = entries(classes, boundary(classes, percent), percent)
-    lists = posted.groupBy("key").agg(F.min(F.struct("n", "cid", "pos")).alias("hub"), F.max(F.struct("n", "cid")).alias("last")).filter("hub.cid <> last.cid")
+    lists = posted.groupBy("key").agg(F.min(F.struct("pos", "n", "cid")).alias("hub"), F.max(F.struct("pos", "n", "cid")).alias("last")).filter("hub.cid <> last.cid")
     lists = lists.select("key", F.col("hub.n").alias("hn"), F.col("hub.cid").alias("hub"), F.col("hub.pos").alias("hp"))
     shared = stored(posted.join(lists, "key"), "shared-lists")
     stars = shared.filter("cid <> hub").filter(bounds(F.col("n"), F.col("hn"), F.col("pos"), F.col("hp"), percent))

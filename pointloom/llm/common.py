@@ -76,3 +76,10 @@ def unit_hash(doc_id: Column, seed: str) -> Column:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns and nothing else, so further columns of the input cannot clash with those made here."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Send at most so many rows at a time to Python workers: their memory then follows the longest texts, not a batch of 10,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))

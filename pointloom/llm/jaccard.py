@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import documents, only, stored
+from pointloom.llm.common import documents, only, small_batches, stored
 
 #: Cells of the frequency sketch (one byte each, saturating at 255), whatever the corpus.
 CELLS = 1 << 22
 #: Parts in which sketches are sent and summed.
 PARTS = 16
 #: Cost of writing one entry (of a list or a subset) relative to scanning one list entry.
-WRITE_COST = 4.0
+WRITE_COST = 16.0
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -141,6 +141,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, width: int, percent: int,
     def run(batches):
         table = np.frombuffer(shared.value, np.uint8)
         cells = np.uint64(len(table) - 1)
+        floor = 1 + float(table.mean())  # what a cell holds of other shingles, and the set itself
         for batch in batches:
             size, one, two, prefixes, scanned = [], [], [], [], []
             for text in batch.column(1):
@@ -153,7 +154,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, width: int, percent: int,
                 keep = min(n, n - least_overlap(n, percent) + 2)
                 order = np.lexsort((s, often))[:keep]
                 prefixes.append(s[order].view(np.int64))
-                scanned.append(int(often[order].sum()))
+                scanned.append(int(np.maximum(often[order] - floor, 0).sum()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
             arrays = [pa.array(c, k) for c, k in zip((size, one, two, prefixes, scanned), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *arrays], ["id", "n", "fp1", "fp2", "prefix", "scanned"])
@@ -250,6 +251,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id``, ``class_id`` (smallest id with the same set)."""
+    small_batches(df.sparkSession)
     counts = sketch(df, text_col, width)
     rows = stored(signed(df, id_col, text_col, width, percent, counts), "shingle-prefixes")
     named = rows.filter("id is not null and n > 0")
@@ -257,10 +259,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = named.join(same.select(F.col("cid").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     classes = stored(classes.select(F.col("id").alias("cid"), "n", "prefix", "scanned"), "class-prefixes")
     posted = entries(classes, boundary(classes, percent), percent)
-    lists = posted.groupBy("key").agg(F.min(F.struct("pos", "n", "cid")).alias("hub"), F.max(F.struct("pos", "n", "cid")).alias("last")).filter("hub.cid <> last.cid")
-    lists = lists.select("key", F.col("hub.n").alias("hn"), F.col("hub.cid").alias("hub"), F.col("hub.pos").alias("hp"))
-    shared = stored(posted.join(lists, "key"), "shared-lists")
-    stars = shared.filter("cid <> hub").filter(bounds(F.col("n"), F.col("hn"), F.col("pos"), F.col("hp"), percent))
+    # A class posts a key once, so a count tells which keys are shared; the few that are get their entries and a hub.
+    keys = posted.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    shared = stored(posted.join(keys, "key", "left_semi"), "shared-entries")
+    hubs = shared.groupBy("key").agg(F.min(F.struct("pos", "n", "cid")).alias("hub"))
+    hubs = hubs.select("key", F.col("hub.n").alias("hn"), F.col("hub.cid").alias("hub"), F.col("hub.pos").alias("hp"))
+    stars = shared.join(hubs, "key").filter("cid <> hub").filter(bounds(F.col("n"), F.col("hn"), F.col("pos"), F.col("hp"), percent))
     stars = stored(stars.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct(), "star-pairs")
     members = shared.select("cid").distinct()
     sets = stored(whole_sets(df, members, id_col, text_col, width), "whole-sets")

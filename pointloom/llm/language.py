@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import documents, fold, only, unit_hash
+from pointloom.llm.common import documents, fold, only, small_batches, unit_hash
 
 #: Bounds of the training sample: documents a language, characters of a slice.
 SAMPLE_DOCS, SLICE_CHARS = 400, 512
@@ -232,6 +232,8 @@ def verdicts(model: tuple[list[str], dict | None], texts: list[str | None]) -> t
 def keep(df: DataFrame, model: tuple[list[str], dict | None], text_col: str = "text", least: float = LEAST) -> DataFrame:
     """The rows of ``df`` whose language is known with at least this score, with all their columns."""
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         for batch in batches:
             best, score = verdicts(model, batch.column(text_col).to_pylist())
@@ -245,6 +247,8 @@ def predict(df: DataFrame, model: tuple[list[str], dict | None], id_col: str = "
     """(id, lang_pred, score) of every row."""
     kind = df.schema[id_col].dataType.simpleString()
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         for batch in batches:
             best, score = verdicts(model, batch.column(1).to_pylist())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import documents, only, stored
+from pointloom.llm.common import documents, only, small_batches, stored
 
 CAPACITY, END = 1024, 2
 #: Rows of a length that are ranked by one task.
@@ -190,6 +190,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, folder: str | None = None, with_ids: bool = False) -> DataFrame:
     """Tokenize, cut and pack: (id, piece, start, length, ids_crc32[, ids], sequence_id, offset)."""
+    small_batches(df.sparkSession)
     pieces = stored(tokenized(df, id_col, text_col, capacity, folder, with_ids), "pieces")
     return pack(pieces, capacity).withColumnRenamed("id", id_col)
 

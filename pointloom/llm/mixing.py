@@ -81,35 +81,46 @@ def hint(sources: DataFrame) -> DataFrame:
     return sources  # joined by size: AQE broadcasts it when its measured size allows
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights=WEIGHTS) -> DataFrame:
-    """One row per input row: id, ``size``, ``source_size``, ``target``, ``taken``, ``copies``."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+def keys(source, key) -> list:
+    """Expressions for the source's key and the id's hash."""
+    source_key = F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
+    return [source_key.alias("source_key"), F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 10), 16, 10).cast("long").alias("h")]
+
+
+def cuts(df: DataFrame, id_col: str, text_col: str, source_col: str, share: float, most: float, weights) -> tuple[DataFrame, DataFrame]:
+    """(rows with size and hash, one row a source with its target and threshold)."""
     rows = only(df, id_col, text_col, source_col).select(
-        F.col(id_col).alias("id"),
-        F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col))).alias("source_key"),
-        F.col(source_col).alias("source"),
-        F.size(words_of(F.col(text_col))).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(key), 1, 10), 16, 10).cast("long").alias("h"),
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(words_of(F.col(text_col))).cast("long").alias("size"), *keys(F.col(source_col), F.col(id_col))
     )
     rows = stored(rows, "mix-sizes")
-    sizes = rows.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    sizes = stored(sizes, "mix-sources")
+    sizes = stored(rows.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), "mix-sources")
     plan = targets(sizes.select("source", "source_size"), share, most, weights)
-    plan = plan.withColumn("source_key", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))))
-    state = thresholds(rows, stored(plan, "mix-targets"))
+    plan = plan.withColumn("source_key", keys(F.col("source"), F.lit(""))[0])
+    state = thresholds(rows, stored(plan, "mix-targets")).select("source_key", "source_size", "target", "times", "low")
     few = sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    cuts = state.select("source_key", "source_size", "target", "times", "low")
-    done = rows.join(F.broadcast(cuts) if few else cuts, "source_key")
-    copies = F.col("times") + F.when(F.col("h") < F.col("low"), 1).otherwise(0)
-    copies = F.least(copies, F.lit(int(most)))
-    return done.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("long").alias("copies"))
-
-
-def mixed(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix with all their columns; one taken twice comes as two rows."""
-    copies = mix(df, id_col, **options).groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies"))
-    rows = df.join(copies, df[id_col].eqNullSafe(copies["_id"])).filter("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*df.columns)
+    return rows, F.broadcast(state) if few else state
+
+
+def copies(most: float):
+    return F.least(F.col("times") + F.when(F.col("h") < F.col("low"), 1).otherwise(0), F.lit(int(most)))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights=WEIGHTS) -> DataFrame:
+    """One row per input row: id, ``size``, ``source_size``, ``target``, ``taken``, ``copies``."""
+    rows, state = cuts(df, id_col, text_col, source_col, share, most, weights)
+    done = rows.join(state, "source_key").withColumn("copies", copies(most))
+    return done.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("long"))
+
+
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights=WEIGHTS) -> DataFrame:
+    """The documents of the mix with all their columns; one taken twice comes as two rows.
+
+    The verdict follows from a row's own hash and its source's threshold, so texts are filtered where they
+    are read, not shuffled.
+    """
+    _, state = cuts(df, id_col, text_col, source_col, share, most, weights)
+    rows = df.select(F.struct("*").alias("row"), *keys(F.col(source_col), F.col(id_col))).join(state, "source_key")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), copies(most).cast("int")))).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -45,7 +46,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove a table of :func:`stored` that nothing reads any more, and let Spark drop shuffle files of finished steps."""
+    spark = df.sparkSession
+    _remove(spark, df._stored_at)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Spark deletes a finished step's shuffle files when the driver collects its garbage: collect it now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import documents, only, small_batches, stored
+from pointloom.llm.common import documents, forget, only, release, small_batches, stored
 
 #: Cells of the frequency sketch (one byte each, saturating at 255), whatever the corpus.
 CELLS = 1 << 22
@@ -254,21 +254,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     small_batches(df.sparkSession)
     counts = sketch(df, text_col, width)
     rows = stored(signed(df, id_col, text_col, width, percent, counts), "shingle-prefixes")
+    prints = stored(rows.select("id", "n", "fp1", "fp2"), "set-prints")
     named = rows.filter("id is not null and n > 0")
     same = stored(named.groupBy("fp1", "fp2", "n").agg(F.min("id").alias("cid")), "set-classes")
     classes = named.join(same.select(F.col("cid").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     classes = stored(classes.select(F.col("id").alias("cid"), "n", "prefix", "scanned"), "class-prefixes")
+    forget(rows)
     posted = entries(classes, boundary(classes, percent), percent)
     # A class posts a key once, so a count tells which keys are shared; the few that are get their entries and a hub.
     keys = posted.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     shared = stored(posted.join(keys, "key", "left_semi"), "shared-entries")
+    forget(classes)
     hubs = shared.groupBy("key").agg(F.min(F.struct("pos", "n", "cid")).alias("hub"))
     hubs = hubs.select("key", F.col("hub.n").alias("hn"), F.col("hub.cid").alias("hub"), F.col("hub.pos").alias("hp"))
     stars = shared.join(hubs, "key").filter("cid <> hub").filter(bounds(F.col("n"), F.col("hn"), F.col("pos"), F.col("hp"), percent))
     stars = stored(stars.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct(), "star-pairs")
     members = shared.select("cid").distinct()
     sets = stored(whole_sets(df, members, id_col, text_col, width), "whole-sets")
+    release(df.sparkSession)
     links = stored(verify(stars, sets, percent), "star-links")
+    release(df.sparkSession)
     first = components(links)
     at = shared.select("key", "cid", "n", "pos").join(first, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     open_lists = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
@@ -282,7 +287,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     comps = stored(components(links.union(more)), "components")
     # Members of a class take its component; classes without a link are their own.
     done = same.join(comps, "cid", "left").select("fp1", "fp2", "n", F.col("cid").alias("class_id"), F.coalesce("comp", "cid").alias("component_id"))
-    out = rows.join(done, ["fp1", "fp2", "n"], "left")
+    out = prints.join(done, ["fp1", "fp2", "n"], "left")
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),

@@ -177,6 +177,11 @@ def boundary(classes: DataFrame, percent: int) -> int:
     return best
 
 
+def entry_key(*parts):
+    """48 bits: two keys that fall together only bring sets to the test that need not have met."""
+    return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 48) - 1)).alias("key")
+
+
 def entries(classes: DataFrame, bound: int, percent: int) -> DataFrame:
     """(key, cid, n, pos): subsets of two of light sets' prefixes, list entries of the others. pos: so many
     shingles come before the entry that cannot be common if this is the first the two sets share."""
@@ -184,9 +189,9 @@ def entries(classes: DataFrame, bound: int, percent: int) -> DataFrame:
     lists = classes.filter((F.col("n") >= bound) | (100 * F.col("n") >= percent * F.lit(bound)))
     two = light.select("cid", "n", "prefix", F.posexplode("prefix").alias("pos", "b")).filter("pos > 0")
     two = two.select("cid", "n", "pos", "b", F.explode(F.expr("slice(prefix, 1, pos)")).alias("a"))
-    two = two.select(F.xxhash64(F.lit(2), "a", "b").alias("key"), "cid", F.col("n").cast("int"), (F.col("pos") - 1).alias("pos"))
+    two = two.select(entry_key(F.lit(2), F.col("a"), F.col("b")), "cid", F.col("n").cast("int"), (F.col("pos") - 1).alias("pos"))
     one = lists.select("cid", "n", F.posexplode(F.expr("slice(prefix, 1, greatest(1, size(prefix) - 1))")).alias("pos", "b"))
-    one = one.select(F.xxhash64(F.lit(1), "b").alias("key"), "cid", F.col("n").cast("int"), "pos")
+    one = one.select(entry_key(F.lit(1), F.col("b")), "cid", F.col("n").cast("int"), "pos")
     return two.unionByName(one)
 
 
@@ -227,6 +232,18 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
+def verified(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int, label: str) -> DataFrame:
+    """The pairs that reach the threshold, as a stored table; whole sets are made for members of pairs only."""
+    if pairs.isEmpty():
+        return pairs
+    members = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    sets = stored(whole_sets(df, members, id_col, text_col, width), "whole-sets")
+    release(df.sparkSession)
+    links = stored(verify(pairs, sets, percent), label)
+    forget(sets)
+    return links
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(cid, comp): smallest id reachable over the links (a, b), for every id that has a link.
 
@@ -269,11 +286,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hubs = hubs.select("key", F.col("hub.n").alias("hn"), F.col("hub.cid").alias("hub"), F.col("hub.pos").alias("hp"))
     stars = shared.join(hubs, "key").filter("cid <> hub").filter(bounds(F.col("n"), F.col("hn"), F.col("pos"), F.col("hp"), percent))
     stars = stored(stars.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct(), "star-pairs")
-    members = shared.select("cid").distinct()
-    sets = stored(whole_sets(df, members, id_col, text_col, width), "whole-sets")
-    release(df.sparkSession)
-    links = stored(verify(stars, sets, percent), "star-links")
-    release(df.sparkSession)
+    links = verified(df, stars, id_col, text_col, width, percent, "star-links")
     first = components(links)
     at = shared.select("key", "cid", "n", "pos").join(first, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     open_lists = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
@@ -283,7 +296,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cross = x.join(y, (x["key"] == y["key"]) & (F.col("comp1") != F.col("comp2")) & (F.col("cid1") < F.col("cid2")) & bounds(F.col("n1"), F.col("n2"), F.col("pos1"), F.col("pos2"), percent))
     cross = cross.select(F.col("cid1").alias("a"), F.col("cid2").alias("b")).distinct()
     cross = stored(cross.join(stars, ["a", "b"], "left_anti"), "cross-pairs")
-    more = stored(verify(cross, sets, percent), "cross-links")
+    more = verified(df, cross, id_col, text_col, width, percent, "cross-links")
     comps = stored(components(links.union(more)), "components")
     # Members of a class take its component; classes without a link are their own.
     done = same.join(comps, "cid", "left").select("fp1", "fp2", "n", F.col("cid").alias("class_id"), F.coalesce("comp", "cid").alias("component_id"))

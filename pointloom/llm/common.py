@@ -99,3 +99,13 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+
+
+#: Up to so many ids (some 40 MB as a hash table) a list of ids is sent to every executor; a longer one is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def sized(ids: DataFrame, label: str) -> DataFrame:
+    """A stored list of ids, marked for broadcast if its counted size allows: texts then stay where they are read."""
+    ids = stored(ids, label)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

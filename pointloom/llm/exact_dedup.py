@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import WS, documents, only, stored
+from pointloom.llm.common import WS, documents, only, sized, stored
 
 #: Characters of the normalised text that the second level hashes.
 PREFIX_CHARS = 256
@@ -61,7 +61,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
-    gone = exact_dedup(df, id_col, text_col).filter("not kept").select(id_col)
+    gone = sized(exact_dedup(df, id_col, text_col).filter("not kept").select(id_col), "exact-copies")
     return df.join(gone, id_col, "left_anti").select(*df.columns)
 
 

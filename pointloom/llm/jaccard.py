@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import documents, forget, only, release, small_batches, stored
+from pointloom.llm.common import documents, forget, only, release, sized, small_batches, stored
 
 #: Cells of the frequency sketch (one byte each, saturating at 255), whatever the corpus.
 CELLS = 1 << 22
@@ -213,7 +213,7 @@ def whole_sets(df: DataFrame, members: DataFrame, id_col: str, text_col: str, wi
             packed = [shingles(t.as_py(), width).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(packed, pa.binary())], ["cid", "s"])
 
-    return only(df, id_col, text_col).join(members.select(F.col("cid").alias(id_col)), id_col, "left_semi").mapInArrow(run, "cid bigint, s binary")
+    return only(df, id_col, text_col).join(members.withColumnRenamed("cid", id_col), id_col, "left_semi").mapInArrow(run, "cid bigint, s binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -236,7 +236,7 @@ def verified(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width:
     """The pairs that reach the threshold, as a stored table; whole sets are made for members of pairs only."""
     if pairs.isEmpty():
         return pairs
-    members = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    members = sized(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "pair-members")
     sets = stored(whole_sets(df, members, id_col, text_col, width), "whole-sets")
     release(df.sparkSession)
     links = stored(verify(pairs, sets, percent), label)
@@ -311,7 +311,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its component, with all columns."""
-    gone = near_duplicates(df, id_col, text_col, **options).filter(F.col(id_col) != F.col("component_id")).select(id_col)
+    found = near_duplicates(df, id_col, text_col, **options)
+    gone = sized(found.filter(F.col(id_col) != F.col("component_id")).select(id_col), "near-copies")
     return df.join(gone, id_col, "left_anti").select(*df.columns)
 
 

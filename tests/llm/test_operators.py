@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from pointloom.llm import chat, exact_dedup, jaccard, language, mixing, packing, quality_model, quality_rules, registry, toxicity, warc
 
-DATA = "/root/testdata/sf0.001"
+DATA, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -166,8 +166,15 @@ def test_plan_uses_exact_complements():
             assert sum(pattern) <= 1024
             used.update({x: n * times for x, n in collections.Counter(pattern).items()})
         assert used == {k: v for k, v in counts.items() if v}
-    full = sum(t for p, t in plan if sum(p) == 1024)
-    assert full >= 0.97 * sum(t for _, t in plan)
+        # No more sequences than first fit over decreasing lengths needs.
+        bins: list[int] = []
+        for x in sorted((k for k, v in counts.items() for _ in range(v)), reverse=True):
+            at = next((i for i, gap in enumerate(bins) if gap >= x), None)
+            if at is None:
+                bins.append(1024 - x)
+            else:
+                bins[at] -= x
+        assert sum(t for _, t in plan) <= len(bins)
 
 
 def test_gradients_are_those_of_the_loss():
@@ -185,16 +192,20 @@ def test_gradients_are_those_of_the_loss():
         assert grad[key][at] == pytest.approx((ends[0] - ends[1]) / (2 * step), rel=0.05, abs=1e-4)
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="needs the test tables")
 def test_held_out_accuracy(spark):
-    truth = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang").toPandas()
-    got = language.op4_language(spark, DATA).toPandas().merge(truth, on="doc_id")
+    """On the table with 399 labels; the smallest holds out too few rows to tell."""
+    truth = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "lang").toPandas()
+    got = language.op4_language(spark, LARGER).toPandas().merge(truth, on="doc_id")
     held = got[got.held_out & (got.lang_pred != "und")]
-    assert (held.lang == held.lang_pred).mean() >= 0.9
-    labels = spark.read.parquet(f"{DATA}/labels.parquet").toPandas()
-    got = quality_model.op3_quality(spark, DATA).toPandas().merge(labels, on="doc_id")
+    assert (held.lang == held.lang_pred).mean() >= 0.97
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet").toPandas()
+    got = quality_model.op3_quality(spark, LARGER).toPandas().merge(labels, on="doc_id")
+    held = got[got.held_out]
+    assert (held.quality == held.predicted).mean() >= 0.95 and got.score.between(0, 1).all()
+    got = toxicity.op5_toxicity(spark, LARGER).toPandas().merge(labels, on="doc_id")
     held = got[got.held_out]
-    assert (held.quality == held.predicted).mean() >= 0.9 and got.score.between(0, 1).all()
+    assert (held.toxic == held.predicted).mean() >= 0.9 and got.score.between(0, 1).all()
 
 
 def test_levenshtein_trie():

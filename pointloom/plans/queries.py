@@ -109,16 +109,19 @@ def styled(spark, sf):
 CATEGORIES = ("1-URGENT", "2-HIGH")
 
 
+def chosen():
+    return F.col("category").isin(*CATEGORIES)
+
+
 def queries():
-    chosen = F.col("category").isin(*CATEGORIES)
     return {
         "project_mercator": project,
         "unproject_mercator": unproject,
         "masked_points": lambda s, d: source(s, d).where(F.col("row_idx") % 3 != 0).select("row_idx", "lng", "lat"),
         "indexed_point_count": lambda s, d: index(s, d, mask=F.col("row_idx") % 3 != 0).nodes.where("level = 5").agg(F.count(F.lit(1)).alias("n")),
-        "category_mask": lambda s, d: source(s, d).select("row_idx", chosen.alias("keep")),
+        "category_mask": lambda s, d: source(s, d).select("row_idx", chosen().alias("keep")),
         "distinct_categories": lambda s, d: source(s, d).select("category").distinct().orderBy("category"),
-        "filtered_count": lambda s, d: source(s, d).agg(F.count_if(chosen).alias("n")),
+        "filtered_count": lambda s, d: source(s, d).agg(F.count_if(chosen()).alias("n")),
         "bounds": lambda s, d: source(s, d).agg(F.min("lng").alias("west"), F.min("lat").alias("south"), F.max("lng").alias("east"), F.max("lat").alias("north")),
         "bbox_points_raw": boxed((-30.5, -20.25, 40.5, 50.75)),
         "bbox_antimeridian": boxed((170.2, -85, -160.7, 85)),

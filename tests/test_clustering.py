@@ -26,7 +26,7 @@ def table(spark, rows):
 
 
 def frame(spark, coords):
-    return table(spark, [(i, list(c)) for i, c in enumerate(coords)])
+    return table(spark, [(i, [float(v) for v in c]) for i, c in enumerate(coords)])
 
 
 def build(spark, rows, local_nodes=1_000_000, mask=None, **options):

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
-import tempfile
-import uuid
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +15,15 @@ from pyspark.sql import functions as F
 from pointloom.functions import ids, mercator, style
 from pointloom.operators import levels, local
 from pointloom.sources.points import points
+from pointloom.sources.shared import read_text, storage, write_text
 
 cloudpickle.register_pickle_by_value(local)
 
 #: Up to so many nodes the levels are built in one task; a larger level is built by joins.
 LOCAL_NODES = 1_000_000
 NODE = "level int, seq bigint, node_id bigint, x double, y double, tx double, ty double, num_points bigint, parent_id bigint, lng double, lat double"
+#: Spark's reader passes over names that begin with an underscore.
+INDEX_FILE = "_index.json"
 VIEW = ["lng", "lat", "point_count", "id", "is_cluster"]
 
 
@@ -80,13 +82,14 @@ class ClusterIndex:
         return cls(nodes, num_rows, options)
 
     def save(self, path: str) -> None:
-        """Nodes as Parquet, a folder a level, sorted by place so that rectangles skip row groups."""
-        rows = self.nodes.withColumn("num_rows", F.lit(self.num_rows)).withColumn("options", F.lit(repr(self.options)))
-        rows.repartitionByRange("level", "tx").sortWithinPartitions("level", "tx").write.partitionBy("level").parquet(path)
+        """Nodes as Parquet, a folder a level, sorted by place so that rectangles skip row groups; options beside them."""
+        self.nodes.repartitionByRange("level", "tx").sortWithinPartitions("level", "tx").write.partitionBy("level").parquet(path)
+        write_text(self.nodes.sparkSession, f"{path}/{INDEX_FILE}", json.dumps({"num_rows": self.num_rows, "options": asdict(self.options)}))
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, num_rows: int, options: Options) -> ClusterIndex:
-        return cls(spark.read.parquet(path).drop("num_rows", "options"), num_rows, options)
+    def load(cls, spark: SparkSession, path: str) -> ClusterIndex:
+        known = json.loads(read_text(spark, f"{path}/{INDEX_FILE}"))
+        return cls(spark.read.schema(NODE).parquet(path), known["num_rows"], Options(**known["options"]))
 
     # scalars
 
@@ -191,21 +194,6 @@ class ClusterIndex:
 NODE_ORDER = ["seq", "node_id", "x", "y", "tx", "ty", "num_points", "parent_id", "lng", "lat"]
 
 
-def storage(spark: SparkSession):
-    """Writes a table to the shared folder and reads it back: lineage ends there, and lost executors do no harm."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='pointloom-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-
-    def store(df: DataFrame) -> DataFrame:
-        path = f"{folder.rstrip('/')}/nodes-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return store
-
-
 def local_levels(level: DataFrame, zoom: int, options: Options, num_rows: int) -> DataFrame:
     """All levels from ``zoom`` + 1 down, in one task; the caller has checked that the level is small."""
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import ids, mercator, style
 from pointloom.operators import levels
-from pointloom.plans.index import ClusterIndex, Options, storage
+from pointloom.plans.index import ClusterIndex, Options
+from pointloom.sources import fixtures, formats
+from pointloom.sources.shared import fresh, storage
 
 OPTIONS = Options(radius=40, max_zoom=4)
 SPARSE = Options(radius=75, max_zoom=4, min_points=4)
@@ -106,6 +108,43 @@ def styled(spark, sf):
     return v.select("id", "point_count", F.array_join(F.col("fill_color").cast("array<string>"), ",").alias("fill"), F.round(F.col("radius").cast("double"), 3).alias("radius"), F.array_join(F.col("text_color").cast("array<string>"), ",").alias("text_color"), "text", "text_angle")
 
 
+def saved_view(spark, sf):
+    path = fresh(spark, "index")
+    index(spark, sf).save(path)
+    return shown(ClusterIndex.load(spark, path).world(3))
+
+
+def geojson(spark, sf):
+    p = source(spark, sf).select("row_idx", F.round("lng", 2).alias("lng"), F.round("lat", 2).alias("lat"))
+    return p.select("row_idx", formats.geojson(F.col("lng"), F.col("lat"), row_idx=F.col("row_idx")).alias("feature"))
+
+
+def geoparquet(spark, sf):
+    path = fresh(spark, "geoparquet")
+    formats.write_geoparquet(source(spark, sf), path, ("lng", "lat"))
+    rows, known = formats.read_geoparquet(spark, path)
+    box = known["columns"]["geometry"]["bbox"]
+    return rows.select("row_idx", F.col("geometry.x").alias("lng"), F.col("geometry.y").alias("lat"), *[F.lit(v).alias(k) for k, v in zip(("west", "south", "east", "north"), box)])
+
+
+def arrow(spark, sf):
+    p = source(spark, sf)
+    return formats.from_ipc(formats.to_ipc(p), p.schema)
+
+
+def uniform(spark, sf):
+    p = fixtures.uniform_points(spark, spark.read.parquet(f"{sf}/orders.parquet").count())
+    return p.select("row_idx", F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"))
+
+
+CENTRES = [(-60.0, -20.0, "west"), (10.5, 45.25, "north"), (120.0, 83.0, "far")]
+
+
+def clustered(spark, sf):
+    p = fixtures.clustered_points(spark, spark.read.parquet(f"{sf}/orders.parquet").count(), CENTRES)
+    return p.select("row_idx", F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"), "name")
+
+
 CATEGORIES = ("1-URGENT", "2-HIGH")
 
 
@@ -140,6 +179,13 @@ def queries():
         "leaves_page": of_top(lambda i, c, p: i.leaves(c, limit=50, offset=20)),
         "cluster_descendants": of_top(lambda i, c, p: i.descendants(c)),
         "expansion_zoom": expansion,
+        "saved_index_view": saved_view,
+        "geojson_features": geojson,
+        "geoparquet_roundtrip": geoparquet,
+        "arrow_roundtrip": arrow,
+        "size_estimate": lambda s, d: source(s, d).agg(formats.estimated_bytes(F.count(F.lit(1))).alias("bytes")),
+        "uniform_points": uniform,
+        "clustered_points": clustered,
         "style_fill": fill,
         "style_radius": lambda s, d: source(s, d).select("row_idx", F.round(style.radius(F.col("row_idx") + 1, 1_000_000).cast("double"), 4).alias("radius")),
         "style_text_color": lambda s, d: source(s, d).select("row_idx", F.array_join(style.text_color(F.array(*[(F.col("row_idx") * k % 256).cast("int") for k in (1, 7, 13)]), 230).cast("array<string>"), ",").alias("color")),
@@ -206,6 +252,15 @@ def y_of(v: float) -> str:
     return f"{mercator.lat_y_of(v)!r}::DOUBLE"
 
 
+def draws_sql(each: int) -> str:
+    """``each`` draws of the generator for every order: (i, u), i from 1; the state is multiplied up bit by bit."""
+    powers = [pow(fixtures.FACTOR, 1 << b, fixtures.MODULUS) for b in range(fixtures.BITS)]
+    state = f"{fixtures.SEED}::BIGINT"
+    for b, power in enumerate(powers):
+        state = f"({state} * CASE WHEN (i >> {b}) & 1 = 1 THEN {power} ELSE 1 END % {fixtures.MODULUS})"
+    return f"u AS MATERIALIZED (SELECT i, {state} / {fixtures.MODULUS}.0::DOUBLE u FROM (SELECT unnest(range(1, {each} * (SELECT count(*) FROM orders) + 1)) i))"
+
+
 def oracle_sql():
     r = OPTIONS.radius / (OPTIONS.extent * 2.0**OPTIONS.max_zoom)
     one, sparse = chain(OPTIONS), chain(SPARSE)
@@ -240,6 +295,13 @@ def oracle_sql():
         "leaves_page": one + "SELECT id row_idx FROM under WHERE n = 1 ORDER BY path LIMIT 50 OFFSET 20",
         "cluster_descendants": one + "SELECT id FROM under",
         "expansion_zoom": one + "SELECT DISTINCT id, (id - (SELECT count(*) FROM p)) % 32 AS zoom FROM nodes WHERE n > 1",
+        "saved_index_view": one + f"SELECT {SHOW} FROM nodes WHERE level = 3 AND {world}",
+        "geojson_features": f"""WITH {P} SELECT row_idx, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || round(lng, 2) || ',' || round(lat, 2) || ']}},"properties":{{"row_idx":' || row_idx || '}}}}' feature FROM p""",
+        "geoparquet_roundtrip": f"WITH {P}, b AS (SELECT floor(min(lng) * 1e6) / 1e6 west, floor(min(lat) * 1e6) / 1e6 south, ceil(max(lng) * 1e6) / 1e6 east, ceil(max(lat) * 1e6) / 1e6 north FROM p) SELECT row_idx, lng, lat, west, south, east, north FROM p, b",
+        "arrow_roundtrip": f"WITH {P} SELECT row_idx, lng, lat, category FROM p",
+        "size_estimate": f"WITH {P} SELECT (count(*) * 20 + 1024)::BIGINT bytes FROM p",
+        "uniform_points": f"WITH {draws_sql(2)} SELECT a.i // 2 row_idx, round(a.u * 360 - 180, 6) lng, round(b.u * 170 - 85, 6) lat FROM u a JOIN u b ON b.i = a.i + 1 WHERE a.i % 2 = 1",
+        "clustered_points": f"WITH {draws_sql(3)}, c(k, x, y, name) AS (VALUES {', '.join(f"({k}, {x}::DOUBLE, {y}::DOUBLE, '{name}')" for k, (x, y, name) in enumerate(CENTRES))}) SELECT a.i // 3 row_idx, round(x + sqrt(-2.0::DOUBLE * ln(b.u)) * cos(d.u * 2 * pi()) * 1.5::DOUBLE, 6) lng, round(greatest(-85.0::DOUBLE, least(85.0::DOUBLE, y + sqrt(-2.0::DOUBLE * ln(b.u)) * sin(d.u * 2 * pi()) * 1.5::DOUBLE)), 6) lat, name FROM u a JOIN u b ON b.i = a.i + 1 JOIN u d ON d.i = a.i + 2 JOIN c ON c.k = floor(a.u * {len(CENTRES)})::INT WHERE a.i % 3 = 1",
         "style_fill": f"WITH {P} SELECT row_idx, CASE WHEN row_idx = 11 THEN '255,140,0,230' WHEN row_idx = 7 OR row_idx % 10 = 3 THEN '100,100,200,200' ELSE '26,26,64,200' END fill FROM p",
         "style_radius": f"WITH {P} SELECT row_idx, round((4.0::DOUBLE + ln(row_idx + 2.0::DOUBLE) / ln(1000001.0::DOUBLE) * 50.0::DOUBLE)::FLOAT::DOUBLE, 4) radius FROM p",
         "style_text_color": f"WITH {P}, t AS (SELECT row_idx, {tone} t FROM p) SELECT row_idx, t || ',' || t || ',' || t || ',230' color FROM t",

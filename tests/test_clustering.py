@@ -164,5 +164,6 @@ def test_styles(spark):
 def test_saved_levels_are_read_back(spark, tmp_path):
     idx = build(spark, uniform(60), max_zoom=2)
     idx.save(f"file://{tmp_path}/nodes")
-    again = ClusterIndex.load(spark, f"file://{tmp_path}/nodes", idx.num_rows, idx.options)
+    again = ClusterIndex.load(spark, f"file://{tmp_path}/nodes")
+    assert again.num_rows == 60 and again.options == idx.options
     assert again.world(1).count() == idx.world(1).count()

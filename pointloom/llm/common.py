@@ -94,11 +94,15 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Send at most so many rows at a time to Python workers: their memory then follows the longest texts, not a batch of 10,000."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
+    """Send at most so many rows and bytes at a time to Python workers: their memory then follows the longest text, not a batch of them."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        try:
+            now = int(spark.conf.get(key).rstrip("b"))
+        except ValueError:  # a size with a unit
+            now = 0
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 #: Up to so many ids (some 40 MB as a hash table) a list of ids is sent to every executor; a longer one is joined by a shuffle.

@@ -5,8 +5,11 @@ assistant and all others as named users; system turns stay system turns. The mas
 (start, length in code points) of what the assistant says, end mark included: the part to learn from.
 
 A perspective is written in parts of ``PART_TURNS`` turn numbers, so no task holds a whole long
-conversation; a part with more rows than ``PART_ROWS`` (turn numbers that repeat) is split by turn and by
-hash. Turns meet participants in an equi-join on the conversation, whose large partitions AQE may split.
+conversation. Inside a part the rows are numbered in the order below, and every ``PART_ROWS`` of them make a
+subpart: the first is the empty text, later ones their number in ten digits. Texts joined in order of (part,
+subpart) are the dialogue at every size. Only parts with more rows than that need numbering: they are sorted over
+all tasks and numbered by range. Turns meet participants in an equi-join on the conversation, whose large
+partitions AQE may split.
 
 Defined results: a row repeated in every field counts once; turns with the same number are ordered by role,
 then text; a null role is ``unknown``, a null text empty, a null turn comes first, and rows without a
@@ -16,10 +19,10 @@ and gives no row; marks of the template inside a text are broken by a space; fur
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import only
+from pointloom.llm.common import only, release, sized, stored
 
 PART_TURNS, PART_ROWS = 64, 1024
 
@@ -32,12 +35,12 @@ def rotate(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
         F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"),
         F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("<|"), F.lit("< |")).alias("body"),
     )
-    rows = rows.distinct().withColumn("part", F.floor(F.col("turn") / part_turns).cast("long"))
+    rows = stored(rows.distinct().withColumn("part", F.floor(F.col("turn") / part_turns).cast("long")), "chat-rows")
+    release(df.sparkSession)
     sizes = rows.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("size"))
-    crowded = sizes.filter(F.col("size") > part_rows).select(F.col("conv").alias("_c"), F.col("part").alias("_p"), "size")
-    rows = rows.join(crowded, rows["conv"].eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p")), "left")
-    spread = F.pmod(F.xxhash64("role", "body"), F.ceil(F.col("size") / part_rows))
-    rows = rows.withColumn("sub", F.when(F.col("size").isNull(), F.struct(F.lit(-2).cast("long").alias("turn"), F.lit(0).cast("long").alias("salt"))).otherwise(F.struct("turn", spread.alias("salt"))))
+    crowded = sized(sizes.filter(F.col("size") > part_rows).select(F.col("conv").alias("_c"), F.col("part").alias("_p")), "chat-crowded")
+    within = rows["conv"].eqNullSafe(F.col("_c")) & (rows["part"] == F.col("_p"))
+    rows = rows.join(crowded, within, "left_anti").withColumn("sub", F.lit(0).cast("long")).unionByName(numbered(rows.join(crowded, within, "left_semi"), part_rows))
     speakers = rows.filter("role <> 'system'").select(F.col("conv").alias("_conv"), F.col("role").alias("perspective")).distinct()
     seen = rows.select("conv", "turn", "role", "body", "part", "sub").join(speakers, F.col("conv").eqNullSafe(F.col("_conv")))
     own = F.col("role") == F.col("perspective")
@@ -48,7 +51,7 @@ def rotate(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
         F.col("conv").alias("conv_id"),
         "perspective",
         "part",
-        F.when(F.col("sub.turn") == -2, F.lit("")).otherwise(F.concat_ws(":", "sub.turn", "sub.salt")).alias("subpart"),
+        F.when(F.col("sub") == 0, F.lit("")).otherwise(F.lpad(F.col("sub").cast("string"), 10, "0")).alias("subpart"),
         F.size("turns").cast("long").alias("n_turns"),
         F.expr("array_join(transform(turns, t -> concat(t.head, t.said)), '')").alias("text"),
         F.expr(
@@ -59,6 +62,22 @@ def rotate(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     )
 
 
+def numbered(rows: DataFrame, part_rows: int) -> DataFrame:
+    """Rows with ``sub``, their place in the part by (turn, role, body) over ``part_rows``; no task holds a whole part.
+
+    Sorted ranges are stored, so they are the same when counted and when numbered; a row's place is its place in
+    the range after the counts of the ranges before.
+    """
+    order = ["turn", "role", "body"]
+    ranges = stored(rows.repartitionByRange("conv", "part", *order).withColumn("range", F.spark_partition_id()), "chat-ranges")
+    before = Window.partitionBy("conv", "part").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranges.groupBy("conv", "part", "range").agg(F.count(F.lit(1)).alias("size"))
+    counts = counts.select(F.col("conv").alias("_c"), F.col("part").alias("_p"), F.col("range").alias("_r"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    ranges = ranges.withColumn("place", F.row_number().over(Window.partitionBy("conv", "part", "range").orderBy(*order)))
+    ranges = ranges.join(counts, ranges["conv"].eqNullSafe(F.col("_c")) & (ranges["part"] == F.col("_p")) & (ranges["range"] == F.col("_r")))
+    return ranges.select("conv", *order, "part", F.floor((F.col("before") + F.col("place") - 1) / part_rows).cast("long").alias("sub"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 

@@ -254,6 +254,27 @@ def test_chat_parts_and_masks(spark):
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_chat_subparts_join_to_the_dialogue(spark):
+    rng = random.Random(4)
+    rows = [(1, rng.choice([0, 2, 10, 11, 70, None]), f"p{rng.randrange(3)}", f"t{rng.randrange(500)}") for _ in range(900)]
+    rows += [(None, rng.randrange(12), rng.choice(["p0", "system", None]), f"t{k}") for k in range(300)] + [(2, t, f"p{t % 2}", "x") for t in range(5)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = collections.defaultdict(list)
+    for r in chat.rotate(df, part_rows=16).collect():
+        assert r["n_turns"] <= 16
+        got[r["conv_id"], r["perspective"]].append((r["part"], r["subpart"], r["text"], r["mask"]))
+    turns = collections.defaultdict(set)
+    for conv, turn, role, body in rows:
+        turns[conv].add((-1 if turn is None else turn, role or "unknown", body))
+    assert set(got) == {(c, role) for c, said in turns.items() for _, role, _ in said if role != "system"}
+    for (conv, own), parts in got.items():
+        heads = {"system": "system", own: "assistant"}
+        want = ["<|start|>" + heads.get(role, f"user name={role}") + f"\n{body}<|end|>\n" for _, role, body in sorted(turns[conv])]
+        assert "".join(text for _, _, text, _ in sorted(parts)) == "".join(want)
+        said = [text[int(a) : int(a) + int(n)] for _, _, text, mask in sorted(parts) for a, n in (s.split(":") for s in mask.split(",") if s)]
+        assert said == [f"{body}<|end|>\n" for _, role, body in sorted(turns[conv]) if role == own]
+
+
 def test_warc_outcomes(spark):
     def record(i, kind, url, at, **headers):
         return (i, kind, url, at, {k.replace("_", "-"): v for k, v in headers.items()} or None, "x")

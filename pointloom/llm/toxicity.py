@@ -1,7 +1,7 @@
 """Operator 5, toxicity by Levenshtein automata intersected with a lexicon trie.
 
 The lexicon (whole words, word beginnings, and beginnings that tell only when they come back in a text) is
-learned from a bounded sample of labelled texts. Its trie
+learned from a bounded sample of labelled texts; how many terms it holds follows from their support alone. Its trie
 is walked together with the Levenshtein automata of its terms: a state is a set of (trie node, edits) pairs,
 and the states reached by subset construction make one table-driven automaton. Words of a text run through
 that table side by side in numpy, so a misspelled term costs no more than an exact one. Around every hit
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from pointloom.llm.common import documents, fold, only, small_batches, stored
 from pointloom.llm.quality_model import chance, labelled, logistic
 
-#: Bounds of the lexicon: labelled texts it is learned from, terms it may hold.
-SAMPLE_ROWS, MOST_TERMS = 20_000, 96
+#: Labelled texts the lexicon is learned from; terms that share one automaton, whose states would else grow too many.
+SAMPLE_ROWS, GROUP_TERMS = 20_000, 96
 #: Lengths of word beginnings that may become terms.
 BEGINNINGS = (4, 5, 6, 7)
 FOLDS, HELD, CUT = 4, 2, 0.3
@@ -58,6 +58,11 @@ def edits(term: str, beginning: bool) -> int:
     return (0 if n < 6 else 1) if beginning else (0 if n < 5 else 1 if n < 8 else 2)
 
 
+def repeated(lexicon: list[tuple[str, bool, int]]) -> dict[str, int]:
+    """Numbers of the terms that tell only when repeated."""
+    return {t: k for k, t in enumerate(t for t, _, need in lexicon if need > 1)}
+
+
 class Automaton:
     """Subset construction over a trie of terms and their Levenshtein automata.
 
@@ -66,9 +71,10 @@ class Automaton:
     only when repeated.
     """
 
-    def __init__(self, lexicon: list[tuple[str, bool, int]]):
+    def __init__(self, lexicon: list[tuple[str, bool, int]], numbers: dict[str, int] | None = None):
         terms = [(t, beginning) for t, beginning, _ in lexicon]
-        seldom = {t: k for k, t in enumerate(t for t, _, need in lexicon if need > 1)}
+        numbers = repeated(lexicon) if numbers is None else numbers
+        seldom = {t: numbers[t] for t, _, need in lexicon if need > 1}
         self.alphabet = sorted({c for t, _ in terms for c in t})
         self.classes = np.zeros(0x10000, np.int32)
         for k, c in enumerate(self.alphabet):
@@ -134,7 +140,7 @@ class Automaton:
             plain = [e for node, e in state if node == -1 or node >= 0 and any(e <= m and rare is None for m, _, rare in ends[node])]
             again = [-2 - node for node, _ in state if node < -1]
             self.found[k] = 1 + min(plain) if plain else SELDOM + min(again) if again else 0
-        self.seldom = len(seldom)
+        self.seldom = len(numbers)
         self.start = 1 if terms else 0
 
     def run(self, codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -155,6 +161,22 @@ class Automaton:
         return out
 
 
+class Automata:
+    """One automaton a group of terms that lie together in the alphabet; what any of them finds counts, the best mark first."""
+
+    def __init__(self, lexicon: list[tuple[str, bool, int]], group: int = GROUP_TERMS):
+        terms, numbers = sorted(lexicon), repeated(lexicon)
+        self.seldom = len(numbers)
+        self.parts = [Automaton(terms[k : k + group], numbers) for k in range(0, len(terms), group)]
+
+    def run(self, codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(first), np.int32)
+        for part in self.parts:
+            found = part.run(codes, first, length)
+            out = np.where((found > 0) & ((out == 0) | (found < out)), found, out)
+        return out
+
+
 def terms_of(text: str) -> set[str]:
     """Distinct words; their beginnings marked by a star; by two stars if the beginning comes back in the text."""
     text = text.lower()
@@ -198,30 +220,42 @@ def lexicon(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> l
 
     tallies = rows.mapInArrow(count, "term string, a bigint, b bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     strong = (F.col("a") / sizes[1]) / ((F.col("b") + 0.5) / sizes[0]) >= 20
-    found = tallies.filter((F.col("a") >= least) & strong).orderBy(F.desc("a"), "term").limit(20 * MOST_TERMS).collect()
-    candidates = {r["term"] for r in found}
+    found = tallies.filter((F.col("a") >= least) & strong).collect()
+    names = sorted(r["term"] for r in found)
+    if not names:
+        return []
+    numbers = {t: k for k, t in enumerate(names)}
 
     def which(batches):
         for batch in batches:
-            kept = [sorted(terms_of(t.as_py() or "") & candidates) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.list_(pa.string()))], ["terms"])
-
-    covers = [set(r["terms"]) for r in rows.filter("y = 1").select(text_col).mapInArrow(which, "terms array<string>").collect()]
-    chosen: list[str] = []
-    while len(chosen) < MOST_TERMS:
-        gain: dict[str, int] = {}
-        for terms in covers:
-            for t in terms:
-                gain[t] = gain.get(t, 0) + 1
-        top = max(gain.values(), default=0)
+            kept = [sorted(numbers[w] for w in terms_of(t.as_py() or "") if w in numbers) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.list_(pa.int32()))], ["terms"])
+
+    covers = [np.array(r["terms"], np.int64) for r in rows.filter("y = 1").select(text_col).mapInArrow(which, "terms array<int>").collect()]
+    chosen = [names[k] for k in cover(covers, names, least)]
+    return with_company(chosen, {r["term"]: (r["a"], r["b"]) for r in found}, sizes)
+
+
+def cover(covers: list[np.ndarray], names: list[str], least: int) -> list[int]:
+    """Greedy set cover of texts, given as the numbers of their terms, until no term covers ``least`` further texts."""
+    holders: list[list[int]] = [[] for _ in names]
+    for k, terms in enumerate(covers):
+        for t in terms.tolist():
+            holders[t].append(k)
+    gain, open_ = np.array([len(h) for h in holders], np.int64), [True] * len(covers)
+    chosen: list[int] = []
+    while True:
+        top = int(gain.max())
         if top < least:
-            break
+            return chosen
         # Of terms that cover about as much, a whole word comes before a beginning and the longer beginning first.
-        near = [t for t in gain if gain[t] >= 0.95 * top]
-        best = max(near, key=lambda t: (-t.count("*"), len(t) if t.endswith("*") else gain[t], gain[t], t))
+        near = np.flatnonzero(gain >= 0.95 * top).tolist()
+        best = max(near, key=lambda t: (-names[t].count("*"), len(names[t]) if names[t].endswith("*") else gain[t], gain[t], names[t]))
         chosen.append(best)
-        covers = [terms for terms in covers if best not in terms]
-    return with_company(chosen, {r["term"]: (r["a"], r["b"]) for r in found}, sizes)
+        for k in holders[best]:
+            if open_[k]:
+                open_[k] = False
+                gain[covers[k]] -= 1
 
 
 def with_company(chosen: list[str], tallies: dict[str, tuple[int, int]], sizes: dict[int, int]) -> list[tuple[str, bool, int]]:
@@ -232,10 +266,14 @@ def with_company(chosen: list[str], tallies: dict[str, tuple[int, int]], sizes:
     more = [t for t, (a, b) in sorted(tallies.items(), key=lambda x: (-x[1][0], x[0])) if a >= floor and b == 0 and t not in chosen and not t.endswith("**")]
     # A beginning or longer form of a term that is there already adds nothing.
     out = list(chosen)
+    stems = {t.rstrip("*") for t in chosen}
+    begun = {t[:k] for t in stems for k in range(1, len(t) + 1)}
     for t in more:
         stem = t.rstrip("*")
-        if len(out) < MOST_TERMS and not any(stem.startswith(o.rstrip("*")) or o.rstrip("*").startswith(stem) for o in out):
+        if stem not in begun and not any(stem[:k] in stems for k in range(1, len(stem))):
             out.append(t)
+            stems.add(stem)
+            begun.update(stem[:k] for k in range(1, len(stem) + 1))
     found: dict[str, tuple[str, bool, int]] = {}
     for t in out:  # a stem once, under its most telling mark
         found.setdefault(t.rstrip("*"), (t.rstrip("*"), t.endswith("*"), max(1, t.count("*"))))
@@ -247,7 +285,7 @@ SELDOM = 16
 FEATURES = ["exact", "misspelled", "quoted", "addressed", "distinct", "repeated"]
 
 
-def hits(automaton: Automaton, text: str | None) -> tuple[np.ndarray, list[tuple[int, int, int, bool, bool]]]:
+def hits(automaton: Automaton | Automata, text: str | None) -> tuple[np.ndarray, list[tuple[int, int, int, bool, bool]]]:
     """Features of a text, and its hits (first character, length, edits, quoted, addressed)."""
     out = np.zeros(len(FEATURES))
     if not text:
@@ -281,7 +319,7 @@ def described(df: DataFrame, terms: list[tuple[str, bool, int]], id_col: str = "
     """(id, x[, hits]): features of every row, and on request its hits with their places."""
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    automaton = Automaton(terms)
+    automaton = Automata(terms)
     shape = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("edits", pa.int64()), ("quoted", pa.bool_()), ("addressed", pa.bool_())]))
 
     def run(batches):

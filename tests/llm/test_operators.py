@@ -240,6 +240,30 @@ def test_levenshtein_trie():
     assert quoted[0][3] and not direct[0][3] and direct[0][4]
 
 
+def test_lexicon_has_no_cap(spark):
+    rng = random.Random(6)
+    often = [a + b + c + "q" for a in "bcdfghjklmnpr" for b in "aeiouwxyzstv" for c in "bcdfghjklmnpr"]
+    words = sorted({"".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)) + "x" for _ in range(120)})
+    toxic = [" ".join(often)] * 100 + [f"plain {w} words here" for w in words for _ in range(12)]
+    rows = [(k, t) for k, t in enumerate(toxic + ["plain words here only"] * len(toxic))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k < len(toxic))) for k, _ in rows], "doc_id bigint, toxic int")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels, F.lit(True)).collect()}
+    assert min(scores[k] for k in range(len(toxic))) > 0.5 > max(scores[k] for k in range(len(toxic), len(rows)))
+
+
+def test_groups_of_terms_find_what_one_automaton_finds():
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abst") for _ in range(rng.randrange(3, 10))) for _ in range(24)})
+    terms = [(w, k % 3 > 0, 1 + (k % 3 == 2)) for k, w in enumerate(words)]
+    whole, groups = toxicity.Automaton(terms), toxicity.Automata(terms, group=5)
+    assert len(groups.parts) > 3 and groups.seldom == whole.seldom
+    codes = toxicity.points(" ".join("".join(rng.choice("abst") for _ in range(rng.randrange(1, 12))) for _ in range(3000)))
+    spans = toxicity.word_spans(codes)
+    found = whole.run(codes, *spans)
+    assert (found == groups.run(codes, *spans)).all() and len(set(found.tolist())) > 4
+
+
 def test_chat_parts_and_masks(spark):
     rows = [(1, t, f"p{t % 3}", f"t{t}", 9) for t in range(130)] + [(1, 200, "p0", f"x{k}", 9) for k in range(40)] + [(None, None, None, None, 1), (2, 0, "system", "s", 1), (1, 5, "p2", "t5", 9)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, size int")

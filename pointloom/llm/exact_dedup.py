@@ -13,7 +13,7 @@ Further columns of the input are ignored here and kept by :func:`drop_copies`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import WS, documents, only, sized, stored
@@ -22,10 +22,14 @@ from pointloom.llm.common import WS, documents, only, sized, stored
 PREFIX_CHARS = 256
 
 
+def normal(text_col: str) -> Column:
+    """The text with one space for every run of white space."""
+    return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"{WS}+", " ")
+
+
 def profile(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One scan: normalised length, hash of the prefix, SHA-256 of the whole normalised text."""
-    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"{WS}+", " ")
-    df = only(df, id_col, text_col).select(F.col(id_col).alias("id"), text.alias("_n"))
+    df = only(df, id_col, text_col).select(F.col(id_col).alias("id"), normal(text_col).alias("_n"))
     return df.select(
         "id",
         F.octet_length("_n").alias("n"),
@@ -60,9 +64,25 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns."""
-    gone = sized(exact_dedup(df, id_col, text_col).filter("not kept").select(id_col), "exact-copies")
-    return df.join(gone, id_col, "left_anti").select(*df.columns)
+    """One row of every text, with all its columns: a row with the smallest id, a null id only where no other has the text.
+
+    Every row is judged by its own digest, so repeated ids and null ids are no obstacle. Of rows equal in id and
+    text the first in order of their JSON stays. Only groups of copies are listed, not copies.
+    """
+    rows = stored(profile(df, id_col, text_col), "exact-profile")
+    copies = rows.join(groups(rows).select("n", "prefix", "digest"), ["n", "prefix", "digest"], "left_semi")
+    copies = copies.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("size"))
+    best = copies.groupBy(F.unhex("digest").alias("_exact_key")).agg(F.min(F.struct(F.col("id").isNull(), "id", "size")).alias("_exact_best"))
+    best = sized(best.select("_exact_key", F.col("_exact_best.id").alias("_exact_id"), F.col("_exact_best.size").alias("_exact_size")), "exact-copies")
+    key = F.unhex(F.sha2(normal(text_col).cast("binary"), 256))
+    judged = df.withColumn("_exact_own", key).join(best, F.col("_exact_own") == F.col("_exact_key"), "left")
+    judged = judged.filter(F.col("_exact_key").isNull() | F.col(f"`{id_col}`").eqNullSafe(F.col("_exact_id")))
+    once = judged.filter("coalesce(_exact_size, 1) = 1").select(*df.columns)
+    if best.filter("_exact_size > 1").isEmpty():
+        return once
+    whole = F.struct(*df.columns)
+    again = judged.filter("_exact_size > 1").groupBy("_exact_key").agg(F.min_by(whole, F.to_json(whole)).alias("_exact_row"))
+    return once.unionByName(again.select("_exact_row.*"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,10 +310,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its component, with all columns."""
-    found = near_duplicates(df, id_col, text_col, **options)
-    gone = sized(found.filter(F.col(id_col) != F.col("component_id")).select(id_col), "near-copies")
-    return df.join(gone, id_col, "left_anti").select(*df.columns)
+    """One row of every component, with all columns: a row with the smallest id, a null id only where there is no other.
+
+    Null or repeated ids do not name a row; where there are any, rows are numbered and the numbers are joined.
+    Texts without words are linked with nothing, but of rows equal in id and text one stays.
+    """
+    ids = only(df, id_col).groupBy(id_col).agg(F.count(F.lit(1)).alias("_c"))
+    if ids.filter(F.col(id_col).isNull() | (F.col("_c") > 1)).isEmpty():
+        found = near_duplicates(df, id_col, text_col, **options)
+        gone = sized(found.filter(F.col(id_col) != F.col("component_id")).select(id_col), "near-copies")
+        return df.join(gone, id_col, "left_anti").select(*df.columns)
+    numbered = stored(df.withColumn("_row", F.monotonically_increasing_id()), "near-numbered")
+    found = near_duplicates(numbered, "_row", text_col, **options)
+    named = only(numbered, "_row", id_col, text_col).select("_row", F.col(id_col).alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("_text"))
+    bare = F.col("n_shingles") == 0
+    named = named.join(found, "_row").select("_row", "_id", F.when(~bare, F.col("component_id")).alias("_a"), F.when(bare, F.struct("_id", "_text")).alias("_b"))
+    stay = named.groupBy("_a", "_b").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_best")).select("_best._row")
+    gone = sized(named.select("_row").join(stay, "_row", "left_anti"), "near-copies")
+    return numbered.join(gone, "_row", "left_anti").select(*df.columns)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

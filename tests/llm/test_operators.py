@@ -112,6 +112,19 @@ def test_near_duplicates_equal_brute_force(spark, width, percent, seed):
     assert got == brute_components(texts, width, percent)
 
 
+def test_dedup_stages_judge_rows_not_ids(spark):
+    a, b, c = ("one two three four five six seven", "other words that are nowhere else here", "third text with words of its own")
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (6, c, "y"), (6, c, "x"), (None, c, "x"), (None, a, "x"), (None, "only null ids have this one", "x"), (None, "only null ids have this one", "x"), (8, "", "x"), (8, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = [(3, a), (5, b), (6, c), (8, ""), (None, "only null ids have this one")]
+    for stage in (exact_dedup.drop_copies, jaccard.one_of_each):
+        out = stage(df)
+        assert out.columns == df.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted(want, key=repr), stage
+        plain_ids = df.filter("doc_id < 6 and text <> ''").filter(f"not (doc_id = 5 and text = '{b}')")
+        assert [r["doc_id"] for r in stage(plain_ids).collect()] == [3]
+
+
 def test_boundary_sends_light_sets_to_subsets(spark):
     rows = [(1, 20, [1, 2, 3], 1_000_000), (2, 500, list(range(80)), 0)]
     classes = spark.createDataFrame(rows, "cid bigint, n bigint, prefix array<bigint>, scanned bigint")

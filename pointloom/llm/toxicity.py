@@ -67,8 +67,8 @@ class Automaton:
     """Subset construction over a trie of terms and their Levenshtein automata.
 
     ``table[state, letter class]`` is the next state, 0 is dead; ``found[state]`` is 0, or 1 + the least
-    number of edits with which a word that ends here is a term, or SELDOM + k for the k-th term that tells
-    only when repeated.
+    number of edits with which a word that ends here is a term, or SELDOM + MARKS * k + edits for the k-th term
+    that tells only when repeated.
     """
 
     def __init__(self, lexicon: list[tuple[str, bool, int]], numbers: dict[str, int] | None = None):
@@ -84,7 +84,7 @@ class Automaton:
         ends: list[list[tuple[int, bool, int | None]]] = [[]]
         most = [0]
         for term, beginning in terms:
-            node, k = 0, 0 if term in seldom else edits(term, beginning)
+            node, k = 0, edits(term, beginning)
             most[0] = max(most[0], k)
             for c in term:
                 if c not in children[node]:
@@ -138,7 +138,7 @@ class Automaton:
         self.found = np.zeros(len(index), np.int32)
         for state, k in index.items():
             plain = [e for node, e in state if node == -1 or node >= 0 and any(e <= m and rare is None for m, _, rare in ends[node])]
-            again = [-2 - node for node, _ in state if node < -1]
+            again = [MARKS * (-2 - node) + e for node, e in state if node < -1]
             self.found[k] = 1 + min(plain) if plain else SELDOM + min(again) if again else 0
         self.seldom = len(numbers)
         self.start = 1 if terms else 0
@@ -281,8 +281,8 @@ def with_company(chosen: list[str], tallies: dict[str, tuple[int, int]], sizes:
 
 
 #: Marks of the automaton from here on name a term that tells only when repeated.
-SELDOM = 16
-FEATURES = ["exact", "misspelled", "quoted", "addressed", "distinct", "repeated"]
+SELDOM, MARKS = 16, 4
+FEATURES = ["exact", "misspelled", "quoted", "addressed", "distinct", "repeated", "repeated in quotes"]
 
 
 def hits(automaton: Automaton | Automata, text: str | None) -> tuple[np.ndarray, list[tuple[int, int, int, bool, bool]]]:
@@ -295,9 +295,11 @@ def hits(automaton: Automaton | Automata, text: str | None) -> tuple[np.ndarray,
     found = automaton.run(codes, first, length)
     spans, kinds = [], set()
     whole = text.lower()
-    again = np.bincount(found[found >= SELDOM] - SELDOM, minlength=max(1, automaton.seldom))
+    term = np.where(found >= SELDOM, (found - SELDOM) // MARKS, -1)
+    again = np.bincount(term[term >= 0], minlength=max(1, automaton.seldom))
+    reported = np.zeros_like(again)
     # A term that tells only when repeated is a hit where it is.
-    telling = np.append(again, 0)[np.where(found >= SELDOM, found - SELDOM, -1)] > 1
+    telling = np.append(again, 0)[term] > 1
     at = np.flatnonzero((found > 0) & ((found < SELDOM) | telling))
     for k in at.tolist():
         lo, hi = max(0, k - CONTEXT), min(len(first) - 1, k + CONTEXT)
@@ -307,11 +309,15 @@ def hits(automaton: Automaton | Automata, text: str | None) -> tuple[np.ndarray,
         quoted = bool(QUOTES & set(before)) and bool(QUOTES & set(after)) or bool(REPORT & near)
         addressed = bool(ADDRESS & near)
         rare = found[k] >= SELDOM
-        spans.append((begin, end - begin, 0 if rare else int(found[k]) - 1, quoted, addressed))
-        if not rare:
+        spans.append((begin, end - begin, int(found[k] - SELDOM) % MARKS if rare else int(found[k]) - 1, quoted, addressed))
+        if rare:
+            reported[term[k]] += quoted
+        else:
             kinds.add(whole[begin:end])
-            out += [found[k] == 1 and not quoted, found[k] > 1 and not quoted, quoted, addressed and not quoted, 0, 0]
-    out[4], out[5] = len(kinds), np.maximum(again - 1, 0).sum()
+            out += [found[k] == 1 and not quoted, found[k] > 1 and not quoted, quoted, addressed and not quoted, 0, 0, 0]
+    repeats = np.maximum(again - 1, 0)
+    out[4], out[6] = len(kinds), np.minimum(reported, repeats).sum()
+    out[5] = repeats.sum() - out[6]
     return np.log1p(out), spans
 
 

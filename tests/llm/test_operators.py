@@ -253,6 +253,15 @@ def test_levenshtein_trie():
     assert quoted[0][3] and not direct[0][3] and direct[0][4]
 
 
+def test_repeated_terms_are_found_misspelled_and_quoted():
+    automaton = toxicity.Automata([("achlich", True, 2), ("stupid", False, 1)])
+    x, spans = toxicity.hits(automaton, "achlichst und achlizhei")
+    assert x[5] > 0 and x[6] == 0 and [s[2] for s in spans] == [0, 1]
+    x, spans = toxicity.hits(automaton, 'he said "achlichst achlichei" twice')
+    assert x[5] == 0 and x[6] > 0 and all(s[3] for s in spans)
+    assert not toxicity.hits(automaton, "achlizhei und")[1]
+
+
 def test_lexicon_has_no_cap(spark):
     rng = random.Random(6)
     often = [a + b + c + "q" for a in "bcdfghjklmnpr" for b in "aeiouwxyzstv" for c in "bcdfghjklmnpr"]

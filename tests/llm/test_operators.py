@@ -346,6 +346,33 @@ def test_warc_outcomes(spark):
     assert warc.resolve(df.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="needs the test tables")
+@pytest.mark.parametrize("block", [7, warc.BLOCK])
+def test_warc_revisits_between_responses(spark, block):
+    """All pages as responses, and revisits before, between, at and after them, with either validator or none."""
+    rng = random.Random(8)
+    pages = spark.read.parquet(f"{LARGER}/pages.parquet").select("page_id", "url", warc.canonical_url(F.col("url")).alias("u")).collect()
+    urls = collections.defaultdict(list)
+    rows, want = [], {}
+    for p in pages:
+        for turn in range(2):
+            at, key = rng.randrange(100), len(rows)
+            urls[p["u"]].append((at, key, f"m{rng.randrange(2)}", f'"{rng.randrange(2)}"'))
+            rows.append((key, "response", p["url"], at, {"Last-Modified": urls[p["u"]][-1][2], "ETag": urls[p["u"]][-1][3]}))
+    for p in pages:
+        for turn in range(3):
+            at, key = rng.choice([rng.randrange(-5, 105), rng.choice(urls[p["u"]])[0]]), len(rows)
+            headers = rng.choice([{"last-modified": f"m{rng.randrange(2)}"}, {"etag": f'W/"{rng.randrange(2)}"', "last-modified": "other"}, None])
+            rows.append((key, "revisit", p["url"], at, headers))
+            earlier = max((r for r in urls[p["u"]] if r[0] < at), default=None)
+            tag = (headers or {}).get("etag")
+            same = earlier and (tag[2:] == earlier[3] if tag else not headers or headers["last-modified"] == earlier[2])
+            want[key] = (None, "no_earlier_response") if not earlier else (earlier[1], "resolved" if same else "validator_mismatch")
+    df = spark.createDataFrame(rows, "record_id bigint, kind string, url string, at bigint, headers map<string,string>")
+    got = {r["record_id"]: (r["response_id"], r["outcome"]) for r in warc.resolve(df, block=block).collect()}
+    assert got == want and len({outcome for _, outcome in want.values()}) == 3
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 def test_pipeline_equals_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")

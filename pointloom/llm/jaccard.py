@@ -1,15 +1,17 @@
 """Operator 2, n-gram Jaccard join: a size-aware heavy-light join of shingle sets.
 
 Sets are first collapsed to classes of identical sets. Shingles have one global order, rare before
-frequent, by the counts of a fixed-size sketch of the whole corpus. Two sets that reach the threshold
-share at least l of the first (size - least overlap + l) shingles of either, for any l:
+frequent, by exact counts over the whole corpus: a shingle in fewer than ``RARE`` texts is rare, and rare ones
+are in order of their hashes; the others follow in order of their counts, which reach the sets in an equi-join. Two sets
+that reach the threshold share at least l of the first (size - least overlap + l) shingles of either, for any l up to
+their overlap:
 
 * light sets (size below the boundary) enumerate all subsets of fixed size l = 2 of that prefix and meet in
   an equal subset;
-* heavy sets, and the light ones large enough to reach a heavy set, post their prefix for l = 1 to inverted
-  lists, which are scanned for partners;
+* heavy sets, and the light ones large enough to reach a heavy set or so small that one common shingle may do, post
+  their prefix for l = 1 to inverted lists, which are scanned for partners;
 * the boundary is the size at which the summed cost of the corpus - subsets written against entries
-  written plus list entries scanned, by the sketch's counts - is least.
+  written plus list partners scanned, by the counts - is least.
 
 A list or subset group is scanned in two steps, so a group of near copies never becomes all its pairs.
 First every member meets the group's hub, the set with fewest rarer shingles of its own (of a group of
@@ -19,9 +21,9 @@ several components yield pairs across them, under the same bounds. Every link li
 either inside one component or among the pairs verified in the second step: the components are exact.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing; fewer words
-than a shingle make one shingle of them all; ids are unique (a repeated id with another text makes one
-node); a null id cannot be named as a component and is left out of the join (its row is returned with a
-null component); further columns are ignored.
+than a shingle make one shingle of them all; every row is a document of its own, also where ids are null, repeated or
+no integers (rows are numbered then); a component is named by its smallest id that is not null, and has a null name only
+where all its ids are null; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +35,14 @@ from pyspark.sql import functions as F
 
 from pointloom.llm.common import documents, forget, only, release, sized, small_batches, stored
 
-#: Cells of the frequency sketch (one byte each, saturating at 255), whatever the corpus.
-CELLS = 1 << 22
-#: Parts in which sketches are sent and summed.
-PARTS = 16
-#: Cost of writing one entry (of a list or a subset) relative to scanning one list entry.
-WRITE_COST = 16.0
+#: A shingle in fewer texts than this is rare: its list is shorter than this, so rare ones need no order by count.
+RARE = 16
+#: Bytes of text whose shingles are counted together by one task; shingles a task gathers before it sends their counts.
+BUCKET_BYTES, CHUNK = 8 << 20, 1 << 20
+#: Cost of scanning one partner of a list (to test it on whole sets) relative to writing one entry of a list or subset.
+SCAN_COST = 8.0
+#: Pairs of one set that one task tests; the set is sent as often as it has so many pairs.
+HOT_PAIRS = 10_000
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -99,74 +103,133 @@ def least_overlap(n, percent: int):
     return -(-n * percent // 100)
 
 
-def sketch(df: DataFrame, text_col: str, width: int, cells: int = CELLS) -> bytes:
-    """How often (up to 255) the shingles of each cell occur, over all texts; its size is fixed."""
-    size = cells // PARTS
+def planes(hashes: np.ndarray) -> bytes:
+    """Sorted hashes, all first bytes before all second ones: the first are nearly alike, so the shuffle compresses them."""
+    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
-    def count(batches):
-        import zlib
 
-        total = np.zeros(cells, np.uint8)
+def hashes_of(data) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
+
+
+def frequent(df: DataFrame, text_col: str, width: int, rare: int = RARE) -> tuple[DataFrame, float]:
+    """(h, c): shingles in at least ``rare`` texts and their exact number of texts; and the mean number of partners of a rarer one.
+
+    Tasks count what they have gathered and send it by ranges of the hash; a range holds the shingles of some
+    ``BUCKET_BYTES`` of text at any size of the corpus, so summing one takes bounded memory.
+    """
+    size = only(df, text_col).agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = min(1 << 24, max(1, -(-size // BUCKET_BYTES)))
+    chunk = min(8 * CHUNK, max(CHUNK, 64 * buckets))
+    names = ["bucket", "once", "more", "times"]
+
+    def counted(held):
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        bucket = ((found >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(found)]))
+        rows = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            part, often = found[a:b], n[a:b]
+            many = often > 1
+            rows.append((int(bucket[a]), planes(part[~many]), planes(part[many]), often[many].astype(np.uint32).tobytes()))
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        for at in range(0, len(rows), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 1000]), kinds)], names)
+
+    def count(batches):
+        held, n = [], 0
         for batch in batches:
             for text in batch.column(0):
-                found, n = np.unique(shingles(text.as_py(), width) & np.uint64(cells - 1), return_counts=True)
-                found = found.astype(np.int64)
-                total[found] = np.minimum(total[found].astype(np.int64) + n, 255)
-        parts = [zlib.compress(total[k * size : (k + 1) * size].tobytes(), 1) for k in range(PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+                held.append(shingles(text.as_py(), width))
+                n += len(held[-1])
+                if n >= chunk:
+                    yield from counted(held)
+                    held, n = [], 0
+        if n:
+            yield from counted(held)
+
+    def summed(held):
+        once, more, times = (list(x) for x in zip(*held))
+        h = np.concatenate([*once, *more])
+        c = np.concatenate([np.ones(sum(map(len, once)), np.int64), *times])
+        order = np.argsort(h, kind="stable")
+        h, c = h[order], c[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        h, c = h[first], np.add.reduceat(c, first)
+        few = c[c < rare]
+        keep = c >= rare
+        columns = [np.append(h[keep].view(np.int64), 0), np.append(c[keep], 0), np.append(np.zeros(keep.sum(), np.int64), few.sum()), np.append(np.zeros(keep.sum(), np.int64), (few * (few - 1)).sum())]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["h", "c", "rare", "partners"])
 
     def add(batches):
-        import zlib
-
-        total: dict[int, np.ndarray] = {}
+        held, at = [], None
         for batch in batches:
-            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts")):
-                more = np.frombuffer(zlib.decompress(counts.as_py()), np.uint8)
-                total[part] = np.minimum(total.get(part, np.int64(0)) + more.astype(np.int64), 255)
-        sums = [v.astype(np.uint8).tobytes() for v in total.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(sums, pa.binary())], ["part", "counts"])
+            for bucket, once, more, times in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3))):
+                if held and bucket != at:
+                    yield summed(held)
+                    held = []
+                at = bucket
+                held.append((hashes_of(once.as_buffer()), hashes_of(more.as_buffer()), np.frombuffer(times.as_buffer(), np.uint32).astype(np.int64)))
+        if held:
+            yield summed(held)
+
+    partial = only(df, text_col).mapInArrow(count, "bucket bigint, once binary, more binary, times binary")
+    whole = partial.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "h bigint, c bigint, rare bigint, partners bigint")
+    whole = stored(whole, "shingle-counts")
+    seen, partners = whole.agg(F.sum("rare"), F.sum("partners")).first()
+    return whole.filter("c > 0").select("h", "c"), partners / seen if seen else 0.0
 
-    partial = only(df, text_col).mapInArrow(count, "part int, counts binary")
-    whole = partial.repartition(PARTS, "part").mapInArrow(add, "part int, counts binary").collect()
-    by_part = {r["part"]: bytes(r["counts"]) for r in whole}
-    return b"".join(by_part.get(k, bytes(size)) for k in range(PARTS))
 
+def overlap_of(percent: int):
+    """:func:`least_overlap` of the column ``n``."""
+    return F.expr(f"(n * {percent} + 99) div 100")
 
-def signed(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, counts: bytes) -> DataFrame:
-    """(id, n, fp1, fp2, prefix, scanned): set size, 128-bit print of the set, prefix for l = 2 in global order, list entries expected."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(counts)
-    schema = "id bigint, n bigint, fp1 bigint, fp2 bigint, prefix array<bigint>, scanned bigint"
+
+def signed(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(id, n, fp1, fp2, some): set size, 128-bit print of the set, and its first shingles by hash: one and a half prefixes for l = 2."""
+    schema = "id bigint, n bigint, fp1 bigint, fp2 bigint, some array<bigint>"
 
     def run(batches):
-        table = np.frombuffer(shared.value, np.uint8)
-        cells = np.uint64(len(table) - 1)
-        floor = 1 + float(table.mean())  # what a cell holds of other shingles, and the set itself
         for batch in batches:
-            size, one, two, prefixes, scanned = [], [], [], [], []
+            size, one, two, some = [], [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), width)
                 n = len(s)
                 size.append(n)
                 one.append(int(np.bitwise_xor.reduce(mixed(s + np.uint64(n)), initial=np.uint64(0)).astype(np.int64)))
                 two.append(int(np.add.reduce(mixed(s ^ FACTOR), dtype=np.uint64).astype(np.int64)))
-                often = table[(s & cells).astype(np.int64)]
-                keep = min(n, n - least_overlap(n, percent) + 2)
-                order = np.lexsort((s, often))[:keep]
-                prefixes.append(s[order].view(np.int64))
-                scanned.append(int(np.maximum(often[order] - floor, 0).sum()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
-            arrays = [pa.array(c, k) for c, k in zip((size, one, two, prefixes, scanned), kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *arrays], ["id", "n", "fp1", "fp2", "prefix", "scanned"])
+                some.append(s[: (n - least_overlap(n, percent) + 2) * 3 // 2 + 4].view(np.int64))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            arrays = [pa.array(c, k) for c, k in zip((size, one, two, some), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *arrays], ["id", "n", "fp1", "fp2", "some"])
 
     return only(df, id_col, text_col).mapInArrow(run, schema)
 
 
+def ranked(sets: DataFrame, often: DataFrame, partners: float, percent: int) -> DataFrame:
+    """(cid, n, prefix, scanned, known) of sets (cid, n, some): prefix for l = 2 in the global order, list partners expected.
+
+    A frequent shingle counts as ``RARE`` partners: its list is longer, but mostly one component, which its hub stands for.
+    ``known`` is false where too many of the given shingles are frequent for the prefix to follow from them.
+    """
+    hits = sets.select("cid", F.explode("some").alias("h")).join(often, "h").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("often"))
+    rows = sets.join(hits, "cid", "left").withColumn("often", F.coalesce("often", F.expr("cast(array() as array<struct<c:bigint,h:bigint>>)")))
+    rows = rows.withColumn("rare", F.array_except("some", F.col("often.h"))).withColumn("keep", F.least("n", F.col("n") - overlap_of(percent) + 2).cast("int"))
+    rows = rows.withColumn("few", F.least(F.size("rare"), F.col("keep")))
+    return rows.select(
+        "cid",
+        "n",
+        F.slice(F.concat("rare", F.col("often.h")), F.lit(1), F.col("keep")).alias("prefix"),
+        (F.col("few") * F.lit(partners) + (F.col("keep") - F.col("few")) * RARE).alias("scanned"),
+        ((F.size("rare") >= F.col("keep")) | (F.size("some") == F.col("n"))).alias("known"),
+    )
+
+
 def boundary(classes: DataFrame, percent: int) -> int:
     """The size below which enumerating pairs of the prefix costs the corpus less than scanning lists."""
     p = F.size("prefix").cast("double")
-    light = p * (p - 1) / 2 * WRITE_COST
-    heavy = (p - 1) * WRITE_COST + F.col("scanned")
+    light = p * (p - 1) / 2
+    heavy = (p - 1) + F.col("scanned") * SCAN_COST
     step = F.floor(F.log2(F.col("n").cast("double")) * 8)  # sizes in steps of a twelfth, so few rows at any scale
     rows = classes.filter("n > 0").groupBy(step.alias("step")).agg(F.max("n").alias("n"), F.sum(light).alias("light"), F.sum(heavy).alias("heavy")).orderBy("step").collect()
     best, least, total = 0, 0.0, 0.0
@@ -186,11 +249,11 @@ def entries(classes: DataFrame, bound: int, percent: int) -> DataFrame:
     """(key, cid, n, pos): subsets of two of light sets' prefixes, list entries of the others. pos: so many
     shingles come before the entry that cannot be common if this is the first the two sets share."""
     light = classes.filter(F.col("n") < bound)
-    lists = classes.filter((F.col("n") >= bound) | (100 * F.col("n") >= percent * F.lit(bound)))
+    lists = classes.filter((F.col("n") >= bound) | (100 * F.col("n") >= percent * F.lit(bound).cast("long")) | (overlap_of(percent) < 2))
     two = light.select("cid", "n", "prefix", F.posexplode("prefix").alias("pos", "b")).filter("pos > 0")
     two = two.select("cid", "n", "pos", "b", F.explode(F.expr("slice(prefix, 1, pos)")).alias("a"))
     two = two.select(entry_key(F.lit(2), F.col("a"), F.col("b")), "cid", F.col("n").cast("int"), (F.col("pos") - 1).alias("pos"))
-    one = lists.select("cid", "n", F.posexplode(F.expr("slice(prefix, 1, greatest(1, size(prefix) - 1))")).alias("pos", "b"))
+    one = lists.select("cid", "n", F.posexplode(F.slice("prefix", F.lit(1), F.size("prefix") - (overlap_of(percent) > 1).cast("int"))).alias("pos", "b"))
     one = one.select(entry_key(F.lit(1), F.col("b")), "cid", F.col("n").cast("int"), "pos")
     return two.unionByName(one)
 
@@ -206,29 +269,34 @@ def bounds(n1, n2, p1, p2, percent: int):
 
 
 def whole_sets(df: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(cid, s): all shingle hashes of the named documents, packed."""
+    """(cid, n, some): all shingles of the named documents."""
 
     def run(batches):
         for batch in batches:
-            packed = [shingles(t.as_py(), width).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(packed, pa.binary())], ["cid", "s"])
+            sets = [shingles(t.as_py(), width).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cid", "n", "some"])
 
-    return only(df, id_col, text_col).join(members.withColumnRenamed("cid", id_col), id_col, "left_semi").mapInArrow(run, "cid bigint, s binary")
+    return only(df, id_col, text_col).join(members.withColumnRenamed("cid", id_col), id_col, "left_semi").mapInArrow(run, "cid bigint, n bigint, some array<bigint>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+    """The pairs (a, b) whose whole sets reach the threshold. A set of very many pairs is sent to several tasks."""
 
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                x, y = (np.asarray(v.values) for v in (x, y))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
+    first, second = sets.select(F.col("cid").alias("a"), F.col("some").alias("sa")), sets.select(F.col("cid").alias("b"), F.col("some").alias("sb"))
+    hot = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HOT_PAIRS).alias("shares")).filter("shares > 1")
+    hot = sized(hot, "hot-sets")
+    pairs = pairs.join(hot, "a", "left").withColumn("share", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1))))
+    first = first.join(hot, "a", "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1)) - 1)))
+    joined = pairs.drop("shares").join(first.drop("shares"), ["a", "share"]).join(second, "b")
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -252,6 +320,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cid"), F.least("a", "m").alias("comp")), "labels")
+    last = labels
     while True:
         near = both.join(labels.select(F.col("cid").alias("b"), "comp"), "b").groupBy(F.col("a").alias("cid")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "cid").select("cid", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
@@ -261,27 +330,35 @@ def components(edges: DataFrame) -> DataFrame:
         jump = step.select(F.col("cid").alias("j"), F.col("comp").alias("up"))
         step = step.join(jump, step["comp"] == jump["j"], "left").select("cid", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp"))
         step = stored(step, "labels")
-        labels = step.select("cid", "comp")
+        forget(last)
+        last, labels = step, step.select("cid", "comp")
         if step.filter("old <> comp").isEmpty():
+            forget(both)
             return labels
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """One row per input row: id, ``n_shingles``, ``component_id``, ``class_id`` (smallest id with the same set)."""
+def linked(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(id, n, cid, comp): set size, smallest id with the same set, smallest id of the component. Ids are integers, none null or repeated."""
     small_batches(df.sparkSession)
-    counts = sketch(df, text_col, width)
-    rows = stored(signed(df, id_col, text_col, width, percent, counts), "shingle-prefixes")
+    often, partners = frequent(df, text_col, width)
+    release(df.sparkSession)
+    rows = stored(signed(df, id_col, text_col, width, percent), "shingle-sets")
     prints = stored(rows.select("id", "n", "fp1", "fp2"), "set-prints")
-    named = rows.filter("id is not null and n > 0")
+    named = rows.filter("n > 0")
     same = stored(named.groupBy("fp1", "fp2", "n").agg(F.min("id").alias("cid")), "set-classes")
-    classes = named.join(same.select(F.col("cid").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    classes = stored(classes.select(F.col("id").alias("cid"), "n", "prefix", "scanned"), "class-prefixes")
+    sets = named.join(same.select(F.col("cid").alias("id")), "id", "left_semi").select(F.col("id").alias("cid"), "n", "some")
+    found = stored(ranked(sets, often, partners, percent), "class-prefixes")
     forget(rows)
+    classes = found.filter("known")
+    unknown = sized(found.filter("not known").select("cid"), "unknown-prefixes")
+    if not unknown.isEmpty():
+        rest = stored(ranked(whole_sets(df, unknown, id_col, text_col, width), often, partners, percent), "rest-prefixes")
+        classes = classes.unionByName(rest)
     posted = entries(classes, boundary(classes, percent), percent)
     # A class posts a key once, so a count tells which keys are shared; the few that are get their entries and a hub.
     keys = posted.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     shared = stored(posted.join(keys, "key", "left_semi"), "shared-entries")
-    forget(classes)
+    forget(found)
     hubs = shared.groupBy("key").agg(F.min(F.struct("pos", "n", "cid")).alias("hub"))
     hubs = hubs.select("key", F.col("hub.n").alias("hn"), F.col("hub.cid").alias("hub"), F.col("hub.pos").alias("hp"))
     stars = shared.join(hubs, "key").filter("cid <> hub").filter(bounds(F.col("n"), F.col("hn"), F.col("pos"), F.col("hp"), percent))
@@ -291,47 +368,63 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     at = shared.select("key", "cid", "n", "pos").join(first, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     open_lists = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     at = stored(at.join(open_lists, "key", "left_semi"), "open-lists")
+    forget(shared)
     x = at.select("key", *[F.col(c).alias(c + "1") for c in ("cid", "n", "pos", "comp")])
     y = at.select("key", *[F.col(c).alias(c + "2") for c in ("cid", "n", "pos", "comp")])
     cross = x.join(y, (x["key"] == y["key"]) & (F.col("comp1") != F.col("comp2")) & (F.col("cid1") < F.col("cid2")) & bounds(F.col("n1"), F.col("n2"), F.col("pos1"), F.col("pos2"), percent))
     cross = cross.select(F.col("cid1").alias("a"), F.col("cid2").alias("b")).distinct()
     cross = stored(cross.join(stars, ["a", "b"], "left_anti"), "cross-pairs")
+    forget(at)
     more = verified(df, cross, id_col, text_col, width, percent, "cross-links")
     comps = stored(components(links.union(more)), "components")
     # Members of a class take its component; classes without a link are their own.
-    done = same.join(comps, "cid", "left").select("fp1", "fp2", "n", F.col("cid").alias("class_id"), F.coalesce("comp", "cid").alias("component_id"))
+    done = same.join(comps, "cid", "left").select("fp1", "fp2", "n", "cid", F.coalesce("comp", "cid").alias("comp"))
     out = prints.join(done, ["fp1", "fp2", "n"], "left")
-    return out.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
-    )
+    return out.select("id", "n", F.coalesce("cid", "id").alias("cid"), F.coalesce("comp", "id").alias("comp"))
+
+
+def plain_ids(df: DataFrame, id_col: str) -> bool:
+    """Are the ids integers, none of them null or repeated?"""
+    if df.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return False
+    return only(df, id_col).groupBy(id_col).agg(F.count(F.lit(1)).alias("_c")).filter(F.col(id_col).isNull() | (F.col("_c") > 1)).isEmpty()
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+    """One row per input row: id, ``n_shingles``, ``component_id``, ``class_id`` (smallest id with the same set)."""
+    if plain_ids(df, id_col):
+        found = linked(df, id_col, text_col, width, percent)
+        return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("cid").alias("class_id"))
+    rows = stored(only(df, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "near-numbered")
+    found = linked(rows, "_row", text_col, width, percent)
+    found = stored(found.join(only(rows, "_row", id_col).select(F.col("_row").alias("id"), F.col(id_col).alias("_id")), "id"), "near-named")
+    comps = found.groupBy("comp").agg(F.min("_id").alias("component_id"))
+    classes = found.groupBy("cid").agg(F.min("_id").alias("class_id"))
+    return found.join(comps, "comp").join(classes, "cid").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "class_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """One row of every component, with all columns: a row with the smallest id, a null id only where there is no other.
 
     Null or repeated ids do not name a row; where there are any, rows are numbered and the numbers are joined.
     Texts without words are linked with nothing, but of rows equal in id and text one stays.
     """
-    ids = only(df, id_col).groupBy(id_col).agg(F.count(F.lit(1)).alias("_c"))
-    if ids.filter(F.col(id_col).isNull() | (F.col("_c") > 1)).isEmpty():
-        found = near_duplicates(df, id_col, text_col, **options)
-        gone = sized(found.filter(F.col(id_col) != F.col("component_id")).select(id_col), "near-copies")
+    if plain_ids(df, id_col):
+        found = linked(df, id_col, text_col, width, percent)
+        gone = sized(found.filter("id <> comp").select(F.col("id").alias(id_col)), "near-copies")
         return df.join(gone, id_col, "left_anti").select(*df.columns)
     numbered = stored(df.withColumn("_row", F.monotonically_increasing_id()), "near-numbered")
-    found = near_duplicates(numbered, "_row", text_col, **options)
+    found = linked(numbered, "_row", text_col, width, percent).withColumnRenamed("id", "_row")
     named = only(numbered, "_row", id_col, text_col).select("_row", F.col(id_col).alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("_text"))
-    bare = F.col("n_shingles") == 0
-    named = named.join(found, "_row").select("_row", "_id", F.when(~bare, F.col("component_id")).alias("_a"), F.when(bare, F.struct("_id", "_text")).alias("_b"))
+    bare = F.col("n") == 0
+    named = named.join(found, "_row").select("_row", "_id", F.when(~bare, F.col("comp")).alias("_a"), F.when(bare, F.struct("_id", "_text")).alias("_b"))
     stay = named.groupBy("_a", "_b").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_best")).select("_best._row")
     gone = sized(named.select("_row").join(stay, "_row", "left_anti"), "near-copies")
     return numbered.join(gone, "_row", "left_anti").select(*df.columns)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
 def oracle(table: str = "documents", width: int = 4, percent: int = 85) -> str:
@@ -339,12 +432,14 @@ def oracle(table: str = "documents", width: int = 4, percent: int = 85) -> str:
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws FROM {table}),
 s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {width} THEN [array_to_string(ws, ' ')]
   ELSE list_transform(range(1, len(ws) - {width - 2}), lambda i: array_to_string(ws[i:i + {width - 1}], ' ')) END)) g FROM w),
-n AS MATERIALIZED (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+n AS MATERIALIZED (SELECT doc_id, count(*) n, list(g ORDER BY g) gs FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY gs) class_id FROM n),
 o AS MATERIALIZED (SELECT a.doc_id x, b.doc_id y, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 l AS MATERIALIZED (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {percent} * (a.n + b.n - c)),
 e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r AS (SELECT doc_id v, doc_id m FROM w UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.v WHERE e.y > r.m)
-SELECT w.doc_id, coalesce(n.n, 0)::BIGINT n_shingles, (SELECT min(m) FROM r WHERE r.v = w.doc_id) component_id FROM w LEFT JOIN n USING (doc_id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT n_shingles, (SELECT min(m) FROM r WHERE r.v = w.doc_id) component_id, coalesce(class_id, w.doc_id) class_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 

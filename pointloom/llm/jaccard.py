@@ -209,6 +209,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, width: int, percent: int)
 def ranked(sets: DataFrame, often: DataFrame, partners: float, percent: int) -> DataFrame:
     """(cid, n, prefix, scanned, known) of sets (cid, n, some): prefix for l = 2 in the global order, list partners expected.
 
+    A frequent shingle counts as one partner, the hub of its list, which stands for the others.
     A frequent shingle counts as ``RARE`` partners: its list is longer, but mostly one component, which its hub stands for.
     ``known`` is false where too many of the given shingles are frequent for the prefix to follow from them.
     """

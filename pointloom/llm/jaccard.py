@@ -39,6 +39,8 @@ from pointloom.llm.common import documents, forget, only, release, sized, small_
 RARE = 16
 #: Bytes of text whose shingles are counted together by one task; shingles a task gathers before it sends their counts.
 BUCKET_BYTES, CHUNK = 8 << 20, 1 << 20
+#: Words of 64 bits of the filter that tells most rare shingles; where it is full, it tells none, and all are looked up.
+FILTER_WORDS = 1 << 20
 #: Cost of scanning one partner of a list (to test it on whole sets) relative to writing one entry of a list or subset.
 SCAN_COST = 8.0
 #: Pairs of one set that one task tests; the set is sent as often as it has so many pairs.
@@ -174,7 +176,7 @@ def frequent(df: DataFrame, text_col: str, width: int, rare: int = RARE) -> tupl
             yield summed(held)
 
     partial = only(df, text_col).mapInArrow(count, "bucket bigint, once binary, more binary, times binary")
-    whole = partial.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "h bigint, c bigint, rare bigint, partners bigint")
+    whole = partial.repartition(min(buckets, 100_000), "bucket").sortWithinPartitions("bucket").mapInArrow(add, "h bigint, c bigint, rare bigint, partners bigint")
     whole = stored(whole, "shingle-counts")
     seen, partners = whole.agg(F.sum("rare"), F.sum("partners")).first()
     return whole.filter("c > 0").select("h", "c"), partners / seen if seen else 0.0
@@ -185,35 +187,55 @@ def overlap_of(percent: int):
     return F.expr(f"(n * {percent} + 99) div 100")
 
 
-def signed(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """(id, n, fp1, fp2, some): set size, 128-bit print of the set, and its first shingles by hash: one and a half prefixes for l = 2."""
-    schema = "id bigint, n bigint, fp1 bigint, fp2 bigint, some array<bigint>"
+def filter_bits(h: np.ndarray) -> np.ndarray:
+    """The two bits of a shingle in its word of the filter."""
+    return (np.uint64(1) << ((h >> np.uint64(20)) & np.uint64(63))) | (np.uint64(1) << ((h >> np.uint64(26)) & np.uint64(63)))
+
+
+def filter_of(often: DataFrame) -> np.ndarray:
+    """A filter of fixed size that passes every frequent shingle and, while they are not too many, few others."""
+    h = F.col("h")
+    place = lambda by: F.expr(f"shiftleft(1L, cast(shiftright(h, {by}) & 63L as int))")
+    words = often.groupBy(h.bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("w")).agg(F.bit_or(place(20).bitwiseOR(place(26))).alias("bits")).toArrow()
+    out = np.zeros(FILTER_WORDS, np.uint64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def signed(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, passes: np.ndarray) -> DataFrame:
+    """(id, n, fp1, fp2, some, ask): set size, 128-bit print of the set, its first shingles by hash, one and a half
+    prefixes for l = 2, and those of them that the filter passes."""
+    schema = "id bigint, n bigint, fp1 bigint, fp2 bigint, some array<bigint>, ask array<bigint>"
+    shared = df.sparkSession.sparkContext.broadcast(passes)
 
     def run(batches):
+        table = shared.value
         for batch in batches:
-            size, one, two, some = [], [], [], []
+            size, one, two, some, ask = [], [], [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), width)
                 n = len(s)
                 size.append(n)
                 one.append(int(np.bitwise_xor.reduce(mixed(s + np.uint64(n)), initial=np.uint64(0)).astype(np.int64)))
                 two.append(int(np.add.reduce(mixed(s ^ FACTOR), dtype=np.uint64).astype(np.int64)))
-                some.append(s[: (n - least_overlap(n, percent) + 2) * 3 // 2 + 4].view(np.int64))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            arrays = [pa.array(c, k) for c, k in zip((size, one, two, some), kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *arrays], ["id", "n", "fp1", "fp2", "some"])
+                s = s[: (n - least_overlap(n, percent) + 2) * 3 // 2 + 4]
+                some.append(s.view(np.int64))
+                bits = filter_bits(s)
+                ask.append(s[table[(s & np.uint64(FILTER_WORDS - 1)).astype(np.int64)] & bits == bits].view(np.int64))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            arrays = [pa.array(c, k) for c, k in zip((size, one, two, some, ask), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *arrays], ["id", "n", "fp1", "fp2", "some", "ask"])
 
     return only(df, id_col, text_col).mapInArrow(run, schema)
 
 
 def ranked(sets: DataFrame, often: DataFrame, partners: float, percent: int) -> DataFrame:
-    """(cid, n, prefix, scanned, known) of sets (cid, n, some): prefix for l = 2 in the global order, list partners expected.
+    """(cid, n, prefix, scanned, known) of sets (cid, n, some, ask): prefix for l = 2 in the global order, list partners expected.
 
     A frequent shingle counts as one partner, the hub of its list, which stands for the others.
-    A frequent shingle counts as ``RARE`` partners: its list is longer, but mostly one component, which its hub stands for.
     ``known`` is false where too many of the given shingles are frequent for the prefix to follow from them.
     """
-    hits = sets.select("cid", F.explode("some").alias("h")).join(often, "h").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("often"))
+    hits = sets.select("cid", F.explode("ask").alias("h")).join(often, "h").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("often"))
     rows = sets.join(hits, "cid", "left").withColumn("often", F.coalesce("often", F.expr("cast(array() as array<struct<c:bigint,h:bigint>>)")))
     rows = rows.withColumn("rare", F.array_except("some", F.col("often.h"))).withColumn("keep", F.least("n", F.col("n") - overlap_of(percent) + 2).cast("int"))
     rows = rows.withColumn("few", F.least(F.size("rare"), F.col("keep")))
@@ -221,7 +243,7 @@ def ranked(sets: DataFrame, often: DataFrame, partners: float, percent: int) ->
         "cid",
         "n",
         F.slice(F.concat("rare", F.col("often.h")), F.lit(1), F.col("keep")).alias("prefix"),
-        (F.col("few") * F.lit(partners) + (F.col("keep") - F.col("few")) * RARE).alias("scanned"),
+        (F.col("few") * F.lit(partners) + (F.col("keep") - F.col("few"))).alias("scanned"),
         ((F.size("rare") >= F.col("keep")) | (F.size("some") == F.col("n"))).alias("known"),
     )
 
@@ -343,17 +365,17 @@ def linked(df: DataFrame, id_col: str, text_col: str, width: int, percent: int)
     small_batches(df.sparkSession)
     often, partners = frequent(df, text_col, width)
     release(df.sparkSession)
-    rows = stored(signed(df, id_col, text_col, width, percent), "shingle-sets")
+    rows = stored(signed(df, id_col, text_col, width, percent, filter_of(often)), "shingle-sets")
     prints = stored(rows.select("id", "n", "fp1", "fp2"), "set-prints")
     named = rows.filter("n > 0")
     same = stored(named.groupBy("fp1", "fp2", "n").agg(F.min("id").alias("cid")), "set-classes")
-    sets = named.join(same.select(F.col("cid").alias("id")), "id", "left_semi").select(F.col("id").alias("cid"), "n", "some")
+    sets = named.join(same.select(F.col("cid").alias("id")), "id", "left_semi").select(F.col("id").alias("cid"), "n", "some", "ask")
     found = stored(ranked(sets, often, partners, percent), "class-prefixes")
     forget(rows)
     classes = found.filter("known")
     unknown = sized(found.filter("not known").select("cid"), "unknown-prefixes")
     if not unknown.isEmpty():
-        rest = stored(ranked(whole_sets(df, unknown, id_col, text_col, width), often, partners, percent), "rest-prefixes")
+        rest = stored(ranked(whole_sets(df, unknown, id_col, text_col, width).withColumn("ask", F.col("some")), often, partners, percent), "rest-prefixes")
         classes = classes.unionByName(rest)
     posted = entries(classes, boundary(classes, percent), percent)
     # A class posts a key once, so a count tells which keys are shared; the few that are get their entries and a hub.

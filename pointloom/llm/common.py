@@ -109,7 +109,7 @@ def small_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) ->
 BROADCAST_IDS = 1_000_000
 
 
-def sized(ids: DataFrame, label: str) -> DataFrame:
+def sized(ids: DataFrame, label: str, most: int = BROADCAST_IDS) -> DataFrame:
     """A stored list of ids, marked for broadcast if its counted size allows: texts then stay where they are read."""
     ids = stored(ids, label)
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return F.broadcast(ids) if ids.count() <= most else ids

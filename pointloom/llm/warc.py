@@ -9,7 +9,8 @@ last-modified) must agree with the response found; then headers a 304 may update
 Defined results: outcomes are ``resolved``, ``validator_mismatch`` and ``no_earlier_response``; a revisit
 without validators is resolved by URL alone; of responses at the same time the largest id counts; a response
 at the revisit's own time is not earlier; null URLs or times never match; repeated revisits are each
-answered; header names compare in lower case; further columns are ignored.
+answered; header names compare in lower case, a header given several times (in different cases) has its values joined
+by a comma and a space in order of the names as given, and one without a value is left out; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,20 +26,24 @@ KEPT_HEADERS = "connection content-encoding content-length content-range content
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme, ``www.``, default port, fragment, tracking parameters and a trailing slash do not tell pages apart."""
+    """Scheme, ``www.``, the scheme's own port, fragment, tracking parameters and a path's trailing slash do not tell pages apart."""
     u = F.regexp_replace(F.trim(url), "#.*$", "")
+    scheme = F.lower(F.regexp_extract(u, "^(?i)(https?)://", 1))
     u = F.regexp_replace(u, "^(?i)https?://", "")
-    host = F.lower(F.regexp_extract(u, "^[^/?]*", 0))
-    host = F.regexp_replace(F.regexp_replace(host, "^www[.]", ""), ":(80|443)$", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(u, "^[^/?]*", 0)), "^www[.]", "")
+    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
     rest = F.regexp_replace(u, "^[^/?]*", "")
-    rest = F.regexp_replace(rest, "([?&])utm_[a-z]+=[^&]*", "$1")
-    rest = F.regexp_replace(F.regexp_replace(rest, "[?]&+", "?"), "&&+", "&")
-    rest = F.regexp_replace(F.regexp_replace(rest, "[?&]+$", ""), "/$", "")
-    return F.concat(host, rest)
+    path = F.regexp_replace(F.regexp_extract(rest, "^[^?]*", 0), "/$", "")
+    asked = F.regexp_replace(F.regexp_replace(rest, "^[^?]*", ""), "([?&])utm_[a-z]+=[^&]*", "$1")
+    asked = F.regexp_replace(F.regexp_replace(asked, "[?]&+", "?"), "&&+", "&")
+    return F.concat(host, path, F.regexp_replace(asked, "[?&]+$", ""))
 
 
 def lower_keys(headers: Column) -> Column:
-    return F.map_from_entries(F.array_distinct(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
+    """A map by lower-cased names; the values of names that differ only in case are joined."""
+    known = F.array_sort(F.map_entries(F.map_filter(headers, lambda k, v: v.isNotNull())))
+    names = F.array_distinct(F.transform(known, lambda e: F.lower(e["key"])))
+    return F.map_from_arrays(names, F.transform(names, lambda k: F.array_join(F.transform(F.filter(known, lambda e: F.lower(e["key"]) == k), lambda e: e["value"]), ", ")))
 
 
 def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -76,30 +81,71 @@ def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
     return answered.select("record_id", F.col("u").alias("canonical_url"), "at", "response_id", outcome.alias("outcome"), F.when(outcome == "resolved", merged).alias("headers"))
 
 
+#: The derived crawl: a page's first answer is at its id times STRIDE modulo SPAN, its second GAP later.
+STRIDE, SPAN, GAP = 7919, 100_003, 40
+#: When a page is asked again, from its first answer: before it, between, at the second's own time, and after both.
+ASKED = (-5, 20, GAP, 3 * GAP)
+
+
 def crawls(pages: DataFrame) -> DataFrame:
-    """WARC records of two crawls of ``pages``: full responses in order of id, later a 304 answer for every page."""
-    tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit("")).cast("binary")), 1, 16), F.lit('"'))
-    base = only(pages, "page_id", "url", "html").select("page_id", "url", tag.alias("tag"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string").alias("size"))
-    first = F.create_map(F.lit("ETag"), F.col("tag"), F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.col("size"), F.lit("Date"), F.col("page_id").cast("string"), F.lit("Cache-Control"), F.lit("max-age=60"))
-    later = F.create_map(F.lit("etag"), F.concat(F.lit("W/"), F.col("tag")), F.lit("content-length"), F.lit("0"), F.lit("date"), (F.col("page_id") + 1_000_000_000).cast("string"), F.lit("expires"), F.lit("0"))
-    return base.select(F.col("page_id").alias("record_id"), F.lit("response").alias("kind"), "url", F.col("page_id").alias("at"), first.alias("headers")).unionByName(
-        base.select(F.col("page_id").alias("record_id"), F.lit("revisit").alias("kind"), "url", (F.col("page_id") + 1_000_000_000).alias("at"), later.alias("headers"))
+    """WARC records derived from ``pages``: two full responses of every page, and four 304 answers before, between, at and after them.
+
+    Pages of one URL interleave. The 304 answers name an entity tag (at every third page that of another version), only a
+    date, or nothing.
+    """
+    page, html = F.col("page_id"), F.coalesce("html", F.lit("")).cast("binary")
+    base = only(pages, "page_id", "url", "html").select(
+        "page_id", "url", F.pmod(page * STRIDE, F.lit(SPAN)).cast("long").alias("at"), F.substring(F.md5(html), 1, 16).alias("print"), F.octet_length(html).cast("string").alias("size")
     )
 
+    def tag(version: int) -> Column:
+        return F.concat(F.lit('"'), F.col("print"), F.lit(f'-{version}"'))
+
+    def record(number: int, kind: str, later: int, *headers) -> DataFrame:
+        made = F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in headers]) if headers else F.lit(None).cast("map<string,string>")
+        return base.select((page * 8 + number).alias("record_id"), F.lit(kind).alias("kind"), "url", (F.col("at") + later).alias("at"), made.alias("headers"))
+
+    def day(later: int) -> Column:
+        return (F.col("at") + later).cast("string")
+
+    def answer(version: int) -> DataFrame:
+        return record(version, "response", version * GAP, "ETag", tag(version), "Content-Type", "text/html", "Content-Length", F.col("size"), "Last-Modified", day(version * GAP), "Cache-Control", "max-age=60")
+
+    asked = [
+        record(4, "revisit", ASKED[0], "etag", tag(0)),
+        record(5, "revisit", ASKED[1], "etag", F.concat(F.lit("W/"), F.when(page % 3 == 0, tag(1)).otherwise(tag(0))), "content-length", "0", "expires", "0"),
+        record(6, "revisit", ASKED[2], "last-modified", day(0), "date", day(GAP)),
+        record(7, "revisit", ASKED[3]),
+    ]
+    out = answer(0).unionByName(answer(1))
+    for more in asked:
+        out = out.unionByName(more)
+    return out
+
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to the revisits of the derived crawl; ``response_id`` is -1 where there is no earlier response."""
     out = resolve(crawls(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     text = F.expr("array_join(transform(array_sort(map_entries(headers)), e -> concat(e.key, '=', e.value)), ';')")
-    return out.select(F.col("record_id").alias("page_id"), "canonical_url", F.col("response_id").alias("response_page_id"), "outcome", text.alias("headers"))
-
-
-ORACLE = r"""
-WITH u AS (SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?i)https?://', '') u FROM pages),
-p AS (SELECT page_id, html, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), '^www[.]', ''), ':(80|443)$', '') ||
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '^[^/?]*', ''), '([?&])utm_[a-z]+=[^&]*', '\1', 'g'), '[?]&+', '?', 'g'), '&&+', '&', 'g'), '[?&]+$', ''), '/$', '') c,
-  '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' tag, strlen(coalesce(html, '')) size FROM u),
-r AS (SELECT c, max(page_id) last FROM p GROUP BY c)
-SELECT p.page_id, p.c canonical_url, q.page_id response_page_id, CASE WHEN p.tag = q.tag THEN 'resolved' ELSE 'validator_mismatch' END outcome,
-  CASE WHEN p.tag = q.tag THEN 'cache-control=max-age=60;content-length=' || q.size || ';content-type=text/html;date=' || (p.page_id + 1000000000) || ';etag=W/' || p.tag || ';expires=0' END headers
-FROM p JOIN r ON p.c = r.c JOIN p q ON q.page_id = r.last
+    return out.select("record_id", "canonical_url", F.col("at").alias("moment"), F.coalesce("response_id", F.lit(-1)).alias("response_id"), "outcome", text.alias("headers"))
+
+
+ORACLE = rf"""
+WITH u AS (SELECT page_id, coalesce(html, '') html, (page_id * {STRIDE}) % {SPAN} AS moment, regexp_replace(trim(url), '#.*$', '') u FROM pages),
+v AS (SELECT page_id, html, moment, lower(regexp_extract(u, '^(?i)(https?)://', 1)) scheme, regexp_replace(u, '^(?i)https?://', '') u FROM u),
+w AS (SELECT *, regexp_replace(lower(regexp_extract(u, '^[^/?]*')), '^www[.]', '') host, regexp_replace(u, '^[^/?]*', '') rest FROM v),
+p AS (SELECT page_id, moment, strlen(html)::VARCHAR size, substr(md5(html), 1, 16) print,
+  CASE scheme WHEN 'http' THEN regexp_replace(host, ':80$', '') WHEN 'https' THEN regexp_replace(host, ':443$', '') ELSE host END || regexp_replace(regexp_extract(rest, '^[^?]*'), '/$', '') ||
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(rest, '^[^?]*', ''), '([?&])utm_[a-z]+=[^&]*', '\1', 'g'), '[?]&+', '?', 'g'), '&&+', '&', 'g'), '[?&]+$', '') c FROM w),
+r AS (SELECT page_id * 8 + k id, c, moment + k * {GAP} AS moment, size, '"' || print || '-' || k || '"' tag FROM p, (VALUES (0), (1)) t(k)),
+q AS (SELECT page_id * 8 + k id, c, moment + CASE k WHEN 4 THEN {ASKED[0]} WHEN 5 THEN {ASKED[1]} WHEN 6 THEN {ASKED[2]} ELSE {ASKED[3]} END AS moment, k,
+  CASE k WHEN 4 THEN '"' || print || '-0"' WHEN 5 THEN '"' || print || CASE WHEN page_id % 3 = 0 THEN '-1"' ELSE '-0"' END END tag, CASE WHEN k = 6 THEN moment::VARCHAR END AS told
+  FROM p, (VALUES (4), (5), (6), (7)) t(k)),
+l AS (SELECT c, moment, max(id) id FROM r GROUP BY c, moment),
+f AS (SELECT q.*, l.id rid FROM q ASOF LEFT JOIN l ON q.c = l.c AND q.moment > l.moment),
+o AS (SELECT f.id, f.c, f.moment, f.k, f.tag, f.told, f.rid, r.size, r.tag AS old, r.moment::VARCHAR AS dated,
+  CASE WHEN f.rid IS NULL THEN 'no_earlier_response' WHEN f.tag IS NOT NULL THEN CASE WHEN f.tag = r.tag THEN 'resolved' ELSE 'validator_mismatch' END
+  WHEN f.told IS NULL OR f.told = r.moment::VARCHAR THEN 'resolved' ELSE 'validator_mismatch' END outcome FROM f LEFT JOIN r ON r.id = f.rid)
+SELECT id record_id, c canonical_url, moment, coalesce(rid, -1) response_id, outcome, CASE WHEN outcome = 'resolved' THEN 'cache-control=max-age=60;content-length=' || size || ';content-type=text/html' ||
+  CASE WHEN k = 6 THEN ';date=' || moment ELSE '' END || ';etag=' || CASE WHEN k = 5 THEN 'W/' ELSE '' END || old || CASE WHEN k = 5 THEN ';expires=0' ELSE '' END || ';last-modified=' || dated END headers FROM o
 """

@@ -360,6 +360,33 @@ def test_warc_outcomes(spark):
     assert warc.resolve(df.limit(0)).count() == 0
 
 
+def test_warc_header_case_and_urls(spark):
+    rows = [
+        (1, "response", "http://a.com/x", 1, {"ETag": '"a"', "Vary": "b", "vary": "a", "Date": None, "X": "v" * 100_000}),
+        (2, "revisit", "http://a.com/x", 2, {"etag": '"a"', "ETAG": None, "Set-Cookie": "1", "set-cookie": "2"}),
+        (2, "revisit", "http://a.com/x", 2, {"etag": '"a"', "ETAG": None, "Set-Cookie": "1", "set-cookie": "2"}),
+        (3, "revisit", "http://a.com/x", 2, {"ETag": '"a"', "etag": '"b"'}),
+    ]
+    df = spark.createDataFrame(rows, "record_id bigint, kind string, url string, at bigint, headers map<string,string>")
+    got = warc.resolve(df).collect()
+    assert sorted(r["record_id"] for r in got) == [2, 2, 3] and {r["response_id"] for r in got} == {1}
+    assert {r["outcome"] for r in got if r["record_id"] == 3} == {"validator_mismatch"}
+    assert all(r["headers"] == {"etag": '"a"', "vary": "b, a", "x": "v" * 100_000, "set-cookie": "1, 2"} for r in got if r["record_id"] == 2)
+    urls = {
+        "http://www.A.com:80/x/?utm_a=1&b=2#f": "a.com/x?b=2", "https://a.com:443/": "a.com", "http://a.com:443/x": "a.com:443/x", "https://a.com:80/x": "a.com:80/x",
+        "a.com:80/x": "a.com:80/x", "http://a.com/?u=/": "a.com?u=/", "http://a.com/?u=": "a.com?u=", "http://a.com?u=/": "a.com?u=/", "": "", "  HTTP://B.org/Q?utm_x=1 ": "b.org/Q",
+    }
+    df = spark.createDataFrame(list(urls.items()), "url string, want string").withColumn("got", warc.canonical_url(F.col("url")))
+    assert [(r["url"], r["got"]) for r in df.collect()] == list(urls.items())
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="needs the test tables")
+def test_warc_query_has_every_case(spark):
+    out = warc.op10_warc(spark, LARGER).groupBy((F.col("record_id") % 8).alias("k"), "outcome").count().collect()
+    assert {r["outcome"] for r in out} == {"resolved", "validator_mismatch", "no_earlier_response"}
+    assert {r["k"] for r in out if r["outcome"] == "resolved"} >= {5, 6, 7}
+
+
 @pytest.mark.skipif(not os.path.isdir(LARGER), reason="needs the test tables")
 @pytest.mark.parametrize("block", [7, warc.BLOCK])
 def test_warc_revisits_between_responses(spark, block):

@@ -44,7 +44,8 @@ def groups(rows: DataFrame) -> DataFrame:
     def shared(over: DataFrame, *keys: str) -> DataFrame:
         return over.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(*keys)
 
-    by_length = rows.join(shared(rows.select("n"), "n"), "n", "left_semi")
+    # Lengths are few and sent to every task, so rows of one length do not meet in a task.
+    by_length = rows.join(sized(shared(rows.select("n"), "n"), "exact-lengths"), "n", "left_semi")
     by_prefix = by_length.join(shared(by_length.select("n", "prefix"), "n", "prefix"), ["n", "prefix"], "left_semi")
     whole = by_prefix.groupBy("n", "prefix", "digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("size"))
     return whole.filter("size > 1")

@@ -7,7 +7,7 @@ log determinant, prior), put on a probability scale by a one-variable logistic f
 
 Defined results: null and empty texts have the statistics of an empty text and get a score like any
 other; rows without a label are scored only; without labels of both classes every score is 0.5; with
-several labels for an id each counts; further columns are ignored.
+several labels for an id each counts, an id repeated in the table is learned from once a label; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,6 +80,12 @@ def labelled(labels: DataFrame, label_col: str, trains, rows: int, id_col: str =
     return known.filter(unit_hash(F.col(id_col), "labels") < rows / n) if n > rows else known
 
 
+def training_rows(rows: DataFrame, sample: DataFrame, id_col: str) -> list:
+    """(x, y) of the sample, in one order however the rows lie; an id repeated in the table counts once a label."""
+    found = rows.join(F.broadcast(sample), id_col).groupBy(id_col, "y").agg(F.min("x").alias("x")).select("x", "y").collect()
+    return sorted(found, key=lambda r: (r["y"], r["x"]))
+
+
 def discriminant(x: np.ndarray, y: np.ndarray) -> dict | None:
     """Means, Cholesky factors and priors of both classes; None if a class is missing."""
     if len(set(y.tolist())) < 2:
@@ -134,7 +140,7 @@ def chance(v: np.ndarray) -> np.ndarray:
 
 def fit(rows: DataFrame, labels: DataFrame, label_col: str, trains, id_col: str = "doc_id") -> dict | None:
     """Fit on described rows (id, x) that have a label."""
-    found = rows.join(labelled(labels, label_col, trains, SAMPLE_ROWS, id_col), id_col).select("x", "y").orderBy("y", "x").collect()
+    found = training_rows(rows, labelled(labels, label_col, trains, SAMPLE_ROWS, id_col), id_col)
     return discriminant(np.array([r["x"] for r in found]), np.array([r["y"] for r in found])) if found else None
 
 

@@ -10,7 +10,8 @@ score.
 
 Defined results: null and empty texts have no hits and get the score of a text without hits; without
 labelled rows of both classes the lexicon is empty and every score is 0.5; repeated rows and ids are scored
-alike; further columns are ignored.
+alike, and an id repeated in the table is learned from once a label; letters beyond the basic plane part words; places of
+hits are those in the lower-cased text, which a few letters make longer; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import documents, fold, only, small_batches, stored
-from pointloom.llm.quality_model import chance, labelled, logistic
+from pointloom.llm.quality_model import chance, labelled, logistic, training_rows
 
 #: Labelled texts the lexicon is learned from; terms that share one automaton, whose states would else grow too many.
 SAMPLE_ROWS, GROUP_TERMS = 20_000, 96
@@ -202,7 +203,8 @@ def lexicon(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> l
     ``sample`` is bounded, so it is broadcast; counting happens on the executors, and only candidate terms
     with a strong ratio reach the driver.
     """
-    rows = only(docs, id_col, text_col).join(F.broadcast(sample), id_col).select(text_col, "y")
+    rows = only(docs, id_col, text_col).join(F.broadcast(sample), id_col).groupBy(id_col, "y").agg(F.min(text_col).alias(text_col))
+    rows = stored(rows.select(text_col, "y"), "toxic-texts")
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return []
@@ -358,7 +360,7 @@ def toxicity(df: DataFrame, labels: DataFrame, trains, label_col: str = "toxic",
     sample = stored(labelled(labels, label_col, trains, SAMPLE_ROWS, id_col), "toxic-sample")
     terms = lexicon(df, sample, id_col, text_col)
     rows = stored(described(df, terms, id_col, text_col), "toxic-hits")
-    found = rows.join(F.broadcast(sample), id_col).select("x", "y").orderBy("y", "x").collect()
+    found = training_rows(rows, sample, id_col)
     y = np.array([r["y"] for r in found], float)
     weights = logistic(np.array([r["x"] for r in found]), y, penalty=0.1) if len(set(y.tolist())) == 2 else None
     return scored(rows, weights)

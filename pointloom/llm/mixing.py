@@ -1,13 +1,13 @@
 """Operator 6, mixing sources to target weights by hash-threshold histograms.
 
-Every document has a 40-bit hash of its id. Word counts are summed by source and hash bucket (10 bits a
+Every document has a 40-bit hash of its id and text. Word counts are summed by source and hash bucket (10 bits a
 level, map-side first); within a source the bucket where the running sum passes the budget is the
 boundary, and only that bucket is refined with the next 10 bits. After four levels a source has one
 threshold: documents hashed below it are taken once more than the others. Nothing is sorted but the
 buckets (at most 1024 a source), and rerunning gives the same mix; a larger budget takes a superset.
 
-Defined results: null text has size 0; a null source is a source of its own, last; rows that share an
-id (or a null id) share a hash and are taken or left together; a source without words has target 0.
+Defined results: null text has size 0; a null source is a source of its own, last; rows equal in
+id and text share a hash and are taken or left together, so a source of such rows only may miss its target; a source without words has target 0.
 Further columns are ignored by :func:`mix` and kept by :func:`mixed`.
 """
 
@@ -58,13 +58,13 @@ def thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
     state = state.withColumn("left", F.col("target") - F.col("times") * F.col("source_size")).withColumn("low", F.lit(0).cast("long"))
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
-        inside = rows if level == 0 else rows.join(hint(state.select("source_key", "low")), "source_key").filter(F.shiftright("h", shift + BITS) == F.shiftright("low", shift + BITS))
+        inside = rows if level == 0 else rows.join(state.select("source_key", "low"), "source_key").filter(F.shiftright("h", shift + BITS) == F.shiftright("low", shift + BITS))
         sums = inside.groupBy("source_key", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("s"))
         upto = Window.partitionBy("source_key").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cum = sums.withColumn("c", F.sum("s").over(upto)).join(hint(state.select("source_key", "left")), "source_key")
+        cum = sums.withColumn("c", F.sum("s").over(upto)).join(state.select("source_key", "left"), "source_key")
         # Boundary: the first bucket whose running sum passes what is left; none if all of them fit.
         edge = cum.filter(F.col("c") > F.col("left")).groupBy("source_key").agg(F.min(F.struct("b", "c", "s")).alias("e"))
-        state = state.join(hint(edge), "source_key", "left")
+        state = state.join(edge, "source_key", "left")
         if level == LEVELS - 1:  # take the last bucket too if that comes nearer
             nearer = (F.col("e.c") - F.col("left")) < (F.col("left") - (F.col("e.c") - F.col("e.s")))
             low = F.col("e.b") + F.when(nearer, 1).otherwise(0)
@@ -77,25 +77,25 @@ def thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return state
 
 
-def hint(sources: DataFrame) -> DataFrame:
-    return sources  # joined by size: AQE broadcasts it when its measured size allows
+def source_key(source):
+    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source)).alias("source_key")
 
 
-def keys(source, key) -> list:
-    """Expressions for the source's key and the id's hash."""
-    source_key = F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
-    return [source_key.alias("source_key"), F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 10), 16, 10).cast("long").alias("h")]
+def keys(source, key, text) -> list:
+    """Expressions for the source's key and the hash of id and text."""
+    own = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return [source_key(source), F.conv(F.substring(F.md5(own), 1, 10), 16, 10).cast("long").alias("h")]
 
 
 def cuts(df: DataFrame, id_col: str, text_col: str, source_col: str, share: float, most: float, weights) -> tuple[DataFrame, DataFrame]:
     """(rows with size and hash, one row a source with its target and threshold)."""
     rows = only(df, id_col, text_col, source_col).select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(words_of(F.col(text_col))).cast("long").alias("size"), *keys(F.col(source_col), F.col(id_col))
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(words_of(F.col(text_col))).cast("long").alias("size"), *keys(F.col(source_col), F.col(id_col), F.col(text_col))
     )
     rows = stored(rows, "mix-sizes")
     sizes = stored(rows.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), "mix-sources")
     plan = targets(sizes.select("source", "source_size"), share, most, weights)
-    plan = plan.withColumn("source_key", keys(F.col("source"), F.lit(""))[0])
+    plan = plan.withColumn("source_key", source_key(F.col("source")))
     state = thresholds(rows, stored(plan, "mix-targets")).select("source_key", "source_size", "target", "times", "low")
     few = sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     return rows, F.broadcast(state) if few else state
@@ -119,7 +119,7 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     are read, not shuffled.
     """
     _, state = cuts(df, id_col, text_col, source_col, share, most, weights)
-    rows = df.select(F.struct("*").alias("row"), *keys(F.col(source_col), F.col(id_col))).join(state, "source_key")
+    rows = df.select(F.struct("*").alias("row"), *keys(F.col(source_col), F.col(id_col), F.col(text_col))).join(state, "source_key")
     return rows.select("row", F.explode(F.array_repeat(F.lit(0), copies(most).cast("int")))).select("row.*")
 
 
@@ -130,7 +130,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle(table: str = "documents") -> str:
     return rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT size,
-  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 10))::BIGINT h FROM {table}),
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 10))::BIGINT h FROM {table}),
 s AS (SELECT source, sum(size)::BIGINT source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3] w, source_size * 2.0::DOUBLE lim FROM s),
 c AS (SELECT *, coalesce(sum(lim) OVER (ORDER BY lim / w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE lb,

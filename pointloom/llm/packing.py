@@ -174,8 +174,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces (id, piece, start, length, ids_crc32, ...)."""
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    salts = max(1, -(-sum(counts.values()) // RANKED_ROWS))
-    rows = pieces.withColumn("_salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)))
+    shares = spark.createDataFrame([(k, -(-n // RANKED_ROWS)) for k, n in counts.items()], "length bigint, _salts bigint")
+    rows = pieces.join(F.broadcast(shares), "length").withColumn("_salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("_salts")))
     before = rows.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("length", "_salt", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from pointloom.llm.common import documents, fold, only, small_batches, unit_hash
 
-#: Bounds of the training sample: documents a language, characters of a slice.
-SAMPLE_DOCS, SLICE_CHARS = 400, 512
+#: Bounds of the training sample: languages (the most frequent), documents a language, characters of a slice.
+SAMPLE_LANGS, SAMPLE_DOCS, SLICE_CHARS = 256, 400, 512
 HIDDEN, WINDOW, BATCH = 8, 64, 4096
 STEPS, TRAIN_BATCH, TRAIN_BYTES, RATE = 260, 384, 32, 0.02
 #: Folds of the contract: a document is held out where crc32(doc_id) mod 5 is 0.
@@ -196,7 +196,8 @@ def score_texts(net: dict[str, np.ndarray], texts: list[str | None], window: int
 def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, trains) -> list:
     """(lang, slice) of at most about SAMPLE_DOCS documents a language, drawn by hash."""
     rows = only(df, id_col, text_col, lang_col).filter(trains & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[lang_col]: r["n"] for r in rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(SAMPLE_LANGS).collect()
+    counts = {r[lang_col]: r["n"] for r in counts}
     if not counts:
         return []
     part = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, SAMPLE_DOCS / n)])

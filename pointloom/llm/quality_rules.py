@@ -30,6 +30,10 @@ THRESHOLDS = [
 ]
 
 
+#: Hash of the window that begins at word ``i``.
+WINDOW_HASH = "xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2))"
+
+
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """One row per input row: id, counts, ratios, ``base_failed`` and ``kept``."""
     stop = ",".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
@@ -42,17 +46,19 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "_s",
         F.expr(
             "sort_array(case when n_words >= 3 then transform(sequence(0, cast(n_words as int) - 3), i -> "
-            "(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)) & -_m) | cast(i as bigint)) "
+            f"({WINDOW_HASH} & -_m) | cast(i as bigint)) "
             "else cast(array() as array<bigint>) end)"
         ),
     )
-    same = (
-        "coalesce((x & -_m) = (get(_s, {k}) & -_m) "
-        "and get(_w, cast(x & (_m - 1) as int)) = get(_w, cast(get(_s, {k}) & (_m - 1) as int)) "
-        "and get(_w, cast(x & (_m - 1) as int) + 1) = get(_w, cast(get(_s, {k}) & (_m - 1) as int) + 1) "
-        "and get(_w, cast(x & (_m - 1) as int) + 2) = get(_w, cast(get(_s, {k}) & (_m - 1) as int) + 2), false)"
-    )
-    df = df.withColumn("_p", F.expr(f"filter(_s, (x, k) -> {same.format(k='k - 1')} or {same.format(k='k + 1')})"))
+    # Equal windows lie in one run of equal high bits. In a run of one window a neighbour tells; where two that differ
+    # share these bits (rare), the whole list is searched.
+    near, place = "(x & -_m) = ({y} & -_m)", "cast({y} & (_m - 1) as int)"
+    words = " and ".join(f"get(_w, cast(x & (_m - 1) as int) + {j}) = get(_w, {place} + {j})" for j in range(3))
+    above, below = "coalesce(get(_s, k - 1), 0L)", "coalesce(get(_s, k + 1), 0L)"
+    found = " or ".join([f"(k > 0 and {near} and {words})".format(y=above), f"(k < size(_s) - 1 and {near} and {words})".format(y=below)])
+    mixed = " or ".join([f"(k > 0 and {near})".format(y=above), f"(k < size(_s) - 1 and {near})".format(y=below)])
+    again = f"exists(_s, z -> z <> x and {near} and {words})".format(y="z")
+    df = df.withColumn("_p", F.expr(f"filter(_s, (x, k) -> {found} or (({mixed}) and {again}))"))
     df = df.select(
         F.col(id_col),
         "n_words",

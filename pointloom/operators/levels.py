@@ -6,11 +6,14 @@ independent set of the radius graph, every other node joins its earliest origin,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions import ids
 from pointloom.functions.mercator import fround
+from pointloom.operators import local
 
 COLUMNS = ["seq", "node_id", "x", "y", "tx", "ty", "num_points", "lng", "lat"]
 
@@ -33,53 +36,103 @@ def neighbours(nodes: DataFrame, r: float) -> DataFrame:
     return probe.join(held, ["cx", "cy"]).where((F.col("src") < F.col("dst")) & (dx * dx + dy * dy <= r * r)).select("src", "dst")
 
 
-def owners(nodes: DataFrame, edges: DataFrame, store) -> DataFrame:
-    """(seq, owner): rounds in which a node whose earlier neighbours are all decided is decided itself."""
-    state = store(nodes.select("seq", F.lit(0).alias("state")))
-    live = edges
+#: Rounds over tables before the nodes still open, if they are few enough, are decided in order inside one task.
+ROUNDS, LOCAL_OPEN = 8, 1_000_000
+
+
+def owners(nodes: DataFrame, r: float, store, local_open: int = LOCAL_OPEN) -> DataFrame:
+    """(seq, owner) of nodes (seq, x, y, tx, ty), by rounds in which only the first open node of every grid cell is looked at.
+
+    Such a candidate is an origin if no open node before it reaches it; what an origin reaches is covered. A node meets
+    at most nine candidates and the origins near it, never all nodes near it, so dense cells cost no more than their nodes.
+    """
+    side = max(r, 1e-12) * (1 + 1e-6)
+
+    def cell(c: str):
+        return F.floor(F.col(c) / side).cast("long")
+
+    open_ = store(nodes.select("seq", "x", "y", "tx", "ty", cell("x").alias("sx"), cell("y").alias("sy"), cell("tx").alias("dx"), cell("ty").alias("dy")))
+    every, rounds, decided = open_, 0, None
     while True:
-        # Open nodes that wait for no open node before them become origins; what they reach is covered.
-        waiting = live.select(F.col("dst").alias("seq")).distinct().withColumn("waits", F.lit(True))
-        state = state.join(waiting, "seq", "left")
-        state = state.select("seq", F.when((F.col("state") == 0) & F.col("waits").isNull(), 1).otherwise(F.col("state")).alias("state"))
-        state = store(state)
-        origins = state.where("state = 1").select(F.col("seq").alias("src"))
-        reached = live.join(origins, "src", "left_semi").select(F.col("dst").alias("seq")).distinct().withColumn("hit", F.lit(True))
-        state = store(state.join(reached, "seq", "left").select("seq", F.when(F.col("hit"), 2).otherwise(F.col("state")).alias("state")))
-        undecided = state.where("state = 0").select("seq")
-        live = store(live.join(undecided.withColumnRenamed("seq", "src"), "src", "left_semi").join(undecided.withColumnRenamed("seq", "dst"), "dst", "left_semi").select("src", "dst"))
-        if live.isEmpty():
+        first = open_.groupBy("dx", "dy").agg(F.min(F.struct("seq", "x", "y", "tx", "ty", "sx", "sy")).alias("c"))
+        first = store(first.select("c.*", "dx", "dy"))
+        asked = first.select(F.col("seq").alias("c"), F.col("tx").alias("cx"), F.col("ty").alias("cy"), *around("dx", "dy"))
+        before = open_.select(F.col("seq").alias("u"), "x", "y", F.col("sx").alias("kx"), F.col("sy").alias("ky"))
+        blocked = spread(asked).join(before, ["kx", "ky"]).where((F.col("u") < F.col("c")) & close("x", "y", "cx", "cy", r)).select(F.col("c").alias("seq")).distinct()
+        origins = store(first.join(blocked, "seq", "left_anti").select("seq", "x", "y", "sx", "sy"))
+        decided = origins if decided is None else decided.unionByName(origins)
+        gone = reached(open_, origins, r).select("seq").distinct().unionByName(origins.select("seq"))
+        open_ = store(open_.join(gone, "seq", "left_anti"))
+        rounds, left = rounds + 1, open_.count()
+        if not left:
             break
-    origins = state.where("state <> 2").select(F.col("seq").alias("src"))
-    first = edges.join(origins, "src", "left_semi").groupBy(F.col("dst").alias("seq")).agg(F.min("src").alias("o"))
-    return state.join(first, "seq", "left").select("seq", F.when(F.col("state") == 2, F.col("o")).otherwise(F.col("seq")).alias("owner"))
+        if rounds >= ROUNDS and left <= local_open:
+            decided = decided.unionByName(store(in_order(open_, r)))
+            break
+    first = reached(every, decided, r).groupBy("seq").agg(F.min("o").alias("o"))
+    return every.select("seq").join(first, "seq", "left").select("seq", F.coalesce("o", "seq").alias("owner"))
+
+
+def around(x: str, y: str) -> list:
+    near = lambda c: F.array(*[F.col(c) + F.lit(k).cast("long") for k in (-1, 0, 1)])
+    return [near(x).alias("kxs"), near(y).alias("kys")]
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A row for each of the nine cells around."""
+    rows = rows.withColumn("kx", F.explode("kxs")).withColumn("ky", F.explode("kys"))
+    return rows.drop("kxs", "kys")
+
+
+def close(x1: str, y1: str, x2: str, y2: str, r: float):
+    dx, dy = F.col(x2) - F.col(x1), F.col(y2) - F.col(y1)
+    return dx * dx + dy * dy <= r * r
+
+
+def reached(nodes: DataFrame, origins: DataFrame, r: float) -> DataFrame:
+    """(seq, o): nodes after an origin o whose rounded place is within r of its exact one."""
+    probe = spread(origins.select(F.col("seq").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), *around("sx", "sy")))
+    held = nodes.select("seq", "tx", "ty", F.col("dx").alias("kx"), F.col("dy").alias("ky"))
+    return probe.join(held, ["kx", "ky"]).where((F.col("o") < F.col("seq")) & close("ox", "oy", "tx", "ty", r)).select("seq", "o")
+
+
+def in_order(open_: DataFrame, r: float) -> DataFrame:
+    """The origins among open nodes, whose number the caller has checked, in one task."""
+    origins = local.origins
+
+    def run(batches):
+        parts = [{k: np.asarray(b.column(k)) for k in ("seq", "x", "y", "tx", "ty", "sx", "sy")} for b in batches if b.num_rows]
+        if not parts:
+            return
+        now = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+        order = np.argsort(now["seq"], kind="stable")
+        now = {k: v[order] for k, v in now.items()}
+        kept = origins(now["x"], now["y"], now["tx"], now["ty"], r)
+        yield pa.RecordBatch.from_arrays([pa.array(now[k][kept]) for k in ("seq", "x", "y", "sx", "sy")], ["seq", "x", "y", "sx", "sy"])
+
+    return open_.coalesce(1).mapInArrow(run, "seq bigint, x double, y double, sx bigint, sy bigint")
 
 
 def coarser(nodes: DataFrame, zoom: int, radius: float, extent: float, min_points: int, num_rows: int, store) -> tuple[DataFrame, DataFrame]:
-    """(nodes of ``zoom``, (seq, parent_id) of the finer nodes). ``store`` materialises a DataFrame."""
+    """(nodes of ``zoom``, (seq, parent_id) of the finer nodes). ``store`` materialises a DataFrame.
+
+    Sums are of decimals, so they are exact and do not depend on the partitioning, and partial: a place or cluster
+    of any number of nodes is one row after them.
+    """
     r = radius / (extent * 2.0**zoom)
     # Nodes at one place have the same neighbours: the first stands for all.
-    place = nodes.groupBy("x", "y").agg(F.min("seq").alias("first"))
-    at = nodes.join(place, ["x", "y"])
-    heads = store(at.where("seq = first").select(*nodes.columns))
-    edges = store(neighbours(heads, r))
-    if edges.isEmpty():
-        own = at.select("seq", F.col("first").alias("owner"))
-    else:
-        found = owners(heads, edges, store).withColumnRenamed("seq", "first")
-        own = at.select("seq", "first").join(found, "first").select("seq", "owner")
-    rows = store(nodes.join(own, "seq"))
-    members = F.sort_array(F.collect_list(F.struct("seq", "x", "y", "num_points")))
-    groups = rows.groupBy("owner").agg(F.count(F.lit(1)).alias("m"), F.sum("num_points").alias("total"))
+    place = store(nodes.groupBy("x", "y").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("m"), F.sum("num_points").alias("n")))
+    found = owners(place.withColumn("tx", fround(F.col("x"))).withColumn("ty", fround(F.col("y"))), r, store)
+    place = store(place.join(found, "seq"))
+    weighed = lambda c: F.sum(F.col(c).cast("decimal(20,18)") * F.col("n").cast("decimal(15,0)")).cast("double")
+    groups = place.groupBy("owner").agg(F.sum("m").alias("m"), F.sum("n").alias("total"), weighed("x").alias("wx"), weighed("y").alias("wy"))
     groups = groups.where((F.col("m") > 1) & (F.col("total") >= min_points))
-    weigh = "aggregate(ms, 0.0D, (a, m) -> a + m.{c} * m.num_points) / total"
-    # Only merged groups are folded, each in order of seq, so sums do not depend on the partitioning.
-    folded = rows.join(groups, "owner").groupBy("owner", "total").agg(members.alias("ms"))
-    merged = store(folded.select("owner", F.col("owner").alias("ms"), ids.encode(F.col("owner"), zoom, num_rows).alias("node_id"), F.expr(weigh.format(c="x")).alias("x"), F.expr(weigh.format(c="y")).alias("y"), F.col("total").alias("num_points"), F.lit(float("nan")).alias("lng"), F.lit(float("nan")).alias("lat")))
-    single = rows.join(merged.select("owner"), "owner", "left_anti").select("owner", F.col("seq").alias("ms"), "node_id", "x", "y", "num_points", "lng", "lat")
+    none = F.lit(float("nan"))
+    merged = store(groups.select("owner", F.col("owner").alias("ms"), ids.encode(F.col("owner"), zoom, num_rows).alias("node_id"), (F.col("wx") / F.col("total")).alias("x"), (F.col("wy") / F.col("total")).alias("y"), F.col("total").alias("num_points"), none.alias("lng"), none.alias("lat")))
+    rows = store(nodes.join(place.select("x", "y", "owner"), ["x", "y"]).join(merged.select("owner", F.col("node_id").alias("parent_id")), "owner", "left"))
+    single = rows.where("parent_id is null").select("owner", F.col("seq").alias("ms"), "node_id", "x", "y", "num_points", "lng", "lat")
     level = store(dense(merged.unionByName(single), ["owner", "ms"]).withColumn("tx", fround(F.col("x"))).withColumn("ty", fround(F.col("y"))).select(*COLUMNS))
-    parents = rows.join(merged.select("owner", F.col("node_id").alias("parent_id")), "owner", "left").select("seq", "parent_id")
-    return level, parents
+    return level, rows.select("seq", "parent_id")
 
 
 def dense(df: DataFrame, order: list[str]) -> DataFrame:

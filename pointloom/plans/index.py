@@ -18,6 +18,7 @@ from pointloom.sources.points import points
 from pointloom.sources.shared import read_text, storage, write_text
 
 cloudpickle.register_pickle_by_value(local)
+cloudpickle.register_pickle_by_value(levels)
 
 #: Up to so many nodes the levels are built in one task; a larger level is built by joins.
 LOCAL_NODES = 1_000_000

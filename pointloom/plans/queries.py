@@ -67,8 +67,7 @@ def origins(spark, sf):
     store = storage(spark)
     p = source(spark, sf).select(F.col("row_idx").alias("seq"), mercator.fround(mercator.lng_x(F.col("lng"))).alias("x"), mercator.fround(mercator.lat_y(F.col("lat"))).alias("y"))
     p = store(p.withColumn("tx", F.col("x")).withColumn("ty", F.col("y")))
-    edges = store(levels.neighbours(p, OPTIONS.radius / (OPTIONS.extent * 2.0**OPTIONS.max_zoom)))
-    return levels.owners(p, edges, store)
+    return levels.owners(p, OPTIONS.radius / (OPTIONS.extent * 2.0**OPTIONS.max_zoom), store)
 
 
 def hierarchy(spark, sf):

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pointloom.sources.shared import storage
+
 
 def with_row_index(df: DataFrame, order_by: str | None = None, name: str = "row_idx") -> DataFrame:
-    """Adds a dense 0-based index: input order, or the order of a column (sorted by range, not in one task)."""
+    """Adds a dense 0-based index: input order, or the order of a column (sorted by range, not in one task).
+
+    The rows are stored with their place in their partition, so they are the same when counted and when numbered.
+    """
     rows = df.orderBy(order_by) if order_by else df
-    rows = rows.withColumn("_at", F.monotonically_increasing_id())
-    shift = 33
-    sizes = rows.groupBy(F.shiftright("_at", shift).alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
-    before, total = {}, 0
-    for r in sizes:
-        before[r["p"]] = total
-        total += r["n"]
-    if not before:
-        return rows.withColumn(name, F.lit(0).cast("long")).drop("_at")
-    starts = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv])
-    return rows.withColumn(name, F.element_at(starts, F.shiftright("_at", shift)) + F.col("_at").bitwiseAND(F.lit((1 << shift) - 1))).drop("_at")
+    rows = storage(df.sparkSession)(rows.withColumn("_at", F.monotonically_increasing_id()))
+    sizes = rows.groupBy(F.shiftright("_at", 33).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    # A row a partition.
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = rows.withColumn("_p", F.shiftright("_at", 33)).join(before, "_p").withColumn(name, F.col("_before") + inside)
+    return rows.drop("_at", "_p", "_before")
 
 
 def coordinates(df: DataFrame, geometry: str | tuple[str, str]) -> tuple[Column, Column]:

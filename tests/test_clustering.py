@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.functions import style
+from pointloom.operators import local
 from pointloom.plans.index import ClusterIndex, Options
 
 
@@ -91,6 +92,31 @@ def test_long_chain_of_dependencies(spark):
         assert sorted(r[0] for r in nodes.where(F.col("level") == z).select("node_id").collect()) == sorted(v[0] for v in level)
 
 
+def test_joins_finish_long_chains(spark):
+    """A chain of 400 by joins: a bounded number of rounds over tables, then in order."""
+    rows = [(i, [i * 0.01, 0.0]) for i in range(400)]
+    a, b = (build(spark, rows, local_nodes=n, radius=60, max_zoom=8, min_zoom=8).nodes.toPandas().sort_values(["level", "seq"]).reset_index(drop=True) for n in (10**6, 0))
+    pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)
+
+
+def test_dense_nodes_are_not_paired(monkeypatch):
+    """Rounds over cells give the origins that all pairs give."""
+    rng = np.random.default_rng(2)
+    x, y = (rng.random(3000) * 0.02 + 0.4 for _ in range(2))
+    tx, ty = (v.astype(np.float32).astype(float) for v in (x, y))
+    for r in (0.0, 0.0003, 0.002, 0.05):
+        want = local.owners(x, y, tx, ty, r)
+        monkeypatch.setattr(local, "MOST_PAIRS", 100)
+        assert (local.owners(x, y, tx, ty, r) == want).all()
+        monkeypatch.setattr(local, "MOST_PAIRS", 40_000_000)
+
+
+def test_many_points_at_one_place(spark):
+    df = spark.range(300_000).select(F.col("id").alias("row_idx"), (F.col("id") % 3 * 1.0).alias("lng"), F.lit(2.0).alias("lat"))
+    nodes = ClusterIndex.build(df, ("lng", "lat"), "row_idx", options=Options(max_zoom=9, min_zoom=9), local_nodes=0).nodes
+    assert [tuple(r) for r in nodes.where("level = 9").orderBy("seq").select("node_id", "num_points").collect()] == [(k * 32 + 10 + 300_000, 100_000) for k in range(3)]
+
+
 def test_hierarchy(spark):
     idx = build(spark, uniform(200), radius=75, max_zoom=4)
     c = idx.world(0).where("is_cluster").orderBy(F.desc("point_count"), "id").first()

@@ -97,8 +97,11 @@ class ClusterIndex:
     def indexed_point_count(self) -> int:
         return self.nodes.where(F.col("level") == self.options.max_zoom + 1).count()
 
-    def limit_zoom(self, zoom: float) -> int:
-        return max(self.options.min_zoom, min(math.floor(zoom), self.options.max_zoom + 1))
+    def limit_zoom(self, zoom: float) -> int | None:
+        """The level a zoom shows; None, a level that is not there, for no number."""
+        if math.isnan(zoom):
+            return None
+        return int(max(self.options.min_zoom, min(zoom, self.options.max_zoom + 1) // 1))
 
     def origin_zoom(self, cluster_id: int) -> int:
         return int(math.fmod(cluster_id - self.num_rows, 32))
@@ -107,8 +110,27 @@ class ClusterIndex:
         return (cluster_id - self.num_rows) >> 5
 
     def expansion_zoom(self, cluster_id: int) -> int | None:
-        """The zoom at which a cluster falls apart: a merged one has two members on the level it was made from."""
-        return self.origin_zoom(cluster_id) if cluster_id >= self.num_rows else None
+        """The zoom at which a cluster falls apart, by walking down while there is one child; None where there is no such cluster."""
+        zoom = None
+        while cluster_id is not None and cluster_id >= self.num_rows and (zoom is None or zoom <= self.options.max_zoom):
+            found = self.children(cluster_id).select("id").limit(2).collect()
+            if not found:
+                break
+            zoom = self.origin_zoom(cluster_id)
+            cluster_id = found[0]["id"] if len(found) == 1 else None
+        return zoom
+
+    def expansion_zooms(self) -> DataFrame:
+        """(id, zoom) of every cluster: the level of its children, of which a merged node has at least two."""
+        inside = self.nodes.where("parent_id is not null").groupBy(F.col("parent_id").alias("id"))
+        return inside.agg(F.min("level").cast("long").alias("zoom"), F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "zoom")
+
+    def picked(self, node_id: int | None) -> dict | None:
+        """(is_cluster, cluster_id, point_count) of a node; None where there is none."""
+        if node_id is None or node_id < 0:
+            return None
+        found = self.nodes.where(F.col("node_id") == node_id).select("num_points").first()
+        return None if found is None else {"is_cluster": found[0] > 1, "cluster_id": node_id, "point_count": found[0]}
 
     # views
 
@@ -135,7 +157,8 @@ class ClusterIndex:
 
     def clusters(self, bbox, zoom: float) -> DataFrame:
         """Nodes of a zoom inside (west, south, east, north); a box across the antimeridian is both its halves."""
-        return self.view(self.nodes.where((F.col("level") == self.limit_zoom(zoom)) & self.inside(bbox)))
+        level = self.limit_zoom(zoom)
+        return self.view(self.nodes.where((F.col("level") == level) & self.inside(bbox)) if level is not None else self.nodes.limit(0))
 
     def world(self, zoom: float) -> DataFrame:
         return self.clusters((-180, -85, 180, 85), zoom)

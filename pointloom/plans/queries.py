@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pointloom.functions import ids, mercator, style
 from pointloom.operators import levels
 from pointloom.plans.index import ClusterIndex, Options
-from pointloom.sources import fixtures, formats
+from pointloom.plans.layer import FLY_LIMIT, ClusterLayer
+from pointloom.sources import fixtures, formats, points
 from pointloom.sources.shared import fresh, storage
 
 OPTIONS = Options(radius=40, max_zoom=4)
@@ -39,11 +40,6 @@ def top(idx: ClusterIndex) -> int:
     return idx.nodes.where(F.col("level") == idx.options.min_zoom).orderBy(F.desc("num_points"), "node_id").select("node_id").first()[0]
 
 
-def raw(options=Options(max_zoom=0, radius=0)):
-    """An index whose level above max_zoom holds the points themselves."""
-    return options
-
-
 def project(spark, sf):
     return source(spark, sf).select("row_idx", F.round(mercator.lng_x(F.col("lng")), 9).alias("x"), F.round(mercator.lat_y(F.col("lat")), 9).alias("y"))
 
@@ -71,8 +67,7 @@ def origins(spark, sf):
 
 
 def hierarchy(spark, sf):
-    n = index(spark, sf).nodes
-    return n.groupBy("level").agg(F.count(F.lit(1)).alias("nodes"), F.sum((F.col("num_points") > 1).cast("long")).alias("clusters"), F.sum("num_points").alias("points"))
+    return levels_of(index(spark, sf))
 
 
 def codec(spark, sf):
@@ -90,12 +85,6 @@ def of_top(get, options=OPTIONS):
     return run
 
 
-def expansion(spark, sf):
-    idx = index(spark, sf)
-    c = idx.nodes.where("num_points > 1").select("node_id").distinct()
-    return c.select(F.col("node_id").alias("id"), ids.origin_zoom(F.col("node_id"), idx.num_rows).alias("zoom"))
-
-
 def fill(spark, sf):
     p = source(spark, sf)
     color = style.fill_color(F.col("row_idx"), PRIMARY, SECONDARY, SELECTED, 7, 11, F.col("row_idx") % 10 == 3)
@@ -148,19 +137,130 @@ CATEGORIES = ("1-URGENT", "2-HIGH")
 
 
 def chosen():
-    return F.col("category").isin(*CATEGORIES)
+    return points.chosen("category", CATEGORIES)
+
+
+def shaped(form):
+    """The points with their geometry in one column."""
+    return lambda spark, sf: source(spark, sf).select("row_idx", form("lng", "lat").alias("geometry"))
+
+
+def form_view(form, zoom):
+    def run(spark, sf):
+        idx = ClusterIndex.build(shaped(form)(spark, sf), row_index="row_idx", options=OPTIONS)
+        return shown(idx.world(zoom))
+
+    return run
+
+
+def numbered(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").repartition(7, "o_orderkey")
+    return points.with_row_index(o, order_by="o_orderkey")
+
+
+def chunked(spark, sf):
+    """Ids are the places of rows in the input, however it is cut."""
+    rows = source(spark, sf).repartitionByRange(6, "row_idx").sortWithinPartitions("row_idx").drop("row_idx")
+    return shown(ClusterIndex.build(rows, geometry=("lng", "lat"), options=OPTIONS).world(3))
+
+
+def flawed(spark, sf):
+    """Every seventh latitude is no number, every eleventh longitude is missing, every thirteenth infinite."""
+    k = F.col("row_idx")
+    lng = F.when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, F.lit(float("inf"))).otherwise(F.col("lng"))
+    rows = source(spark, sf).select("row_idx", lng.alias("lng"), F.when(k % 7 == 0, F.lit(float("nan"))).otherwise(F.col("lat")).alias("lat"))
+    return points.points(rows, ("lng", "lat"), "row_idx")
+
+
+ZOOMS = (-3.5, 0.0, 2.7, 4.0, 4.99, 5.0, 99.0)
+
+
+def clamped(spark, sf):
+    idx = index(spark, sf)
+    return spark.createDataFrame([(z, idx.limit_zoom(z)) for z in ZOOMS], "zoom double, shown int")
+
+
+def extremes(spark, sf):
+    idx, out = index(spark, sf), None
+    for name, zoom in (("below", -2.0), ("between", 3.9), ("above", 99.0), ("none", float("nan"))):
+        one = idx.world(zoom).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("shown"), F.coalesce(F.sum("point_count"), F.lit(0)).alias("points"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def angles(spark, sf):
+    return spark.createDataFrame([(z, globe, style.text_angle(z, globe)) for z in (0.0, 11.9, 12.0, 12.1, 20.0) for globe in (True, False)], "zoom double, globe boolean, angle int")
+
+
+def distributed(get, local_nodes=0):
+    """The index by joins alone, or down to so many nodes."""
+    return lambda spark, sf: get(ClusterIndex.build(source(spark, sf), geometry=("lng", "lat"), row_index="row_idx", options=OPTIONS, local_nodes=local_nodes))
+
+
+def levels_of(idx):
+    return idx.nodes.groupBy("level").agg(F.count(F.lit(1)).alias("nodes"), F.sum((F.col("num_points") > 1).cast("long")).alias("clusters"), F.sum("num_points").alias("points"))
+
+
+def layered(spark, sf):
+    """What a kept view makes anew over a series of requests, and how many nodes it shows then."""
+    rows, two, layer, out = source(spark, sf), Options(radius=75, max_zoom=4, min_points=4), ClusterLayer(), []
+    best = top(index(spark, sf))
+    mask, again = F.col("row_idx") % 2 == 0, F.col("row_idx") % 2 == 0
+    series = [
+        ("first", rows, 2.0, None, OPTIONS, None), ("same", rows, 2.0, None, OPTIONS, None), ("moved", rows, 2.9, None, OPTIONS, None), ("zoomed", rows, 3.1, None, OPTIONS, None),
+        ("focused", rows, 3.1, None, OPTIONS, best), ("options", rows, 3.1, None, two, None), ("masked", rows, 1.0, mask, two, None), ("same mask", rows, 1.0, again, two, None),
+        ("all", rows, 4.0, points.chosen("category", ("a", "b"), ("b",)), OPTIONS, None), ("gone", None, 4.0, None, OPTIONS, None), ("no rows", rows.limit(0), 4.0, None, OPTIONS, None),
+    ]
+    for name, data, zoom, keep, options, focus in series:
+        done = layer.update(data, zoom, ("lng", "lat"), "row_idx", keep, options, focus)
+        out.append((name, ",".join(done), layer.view.count() if layer.view is not None else -1))
+    return spark.createDataFrame(out, "step string, made string, shown bigint")
+
+
+def flown(spark, sf):
+    layer = ClusterLayer()
+    before = layer.fly_to(1)
+    layer.update(source(spark, sf), 0, ("lng", "lat"), "row_idx", options=OPTIONS)
+    best = top(layer.index)
+    return spark.createDataFrame([("no index", before), ("cluster", layer.fly_to(best)), ("point", layer.fly_to(3)), ("limit", min(25, FLY_LIMIT))], "name string, zoom int")
+
+
+def picked(spark, sf):
+    layer, rows = ClusterLayer(), source(spark, sf)
+    layer.update(rows, 0, ("lng", "lat"), "row_idx", options=OPTIONS)
+    out = []
+    for node in (top(layer.index), 12, None, -5):
+        info, found = layer.picked(node, rows, "row_idx")
+        out.append((info["is_cluster"], info["cluster_id"], info["point_count"], found.count()))
+    return spark.createDataFrame(out, "is_cluster boolean, cluster_id bigint, point_count bigint, n_rows bigint").distinct()
+
+
+def wire(spark, sf):
+    """Arrow IPC streams against GeoJSON features: rows, and whether the streams take less than half the bytes."""
+    p = source(spark, sf)
+    text = geojson(spark, sf).agg(F.sum(F.octet_length("feature")).alias("json"))
+    return formats.ipc_bytes(formats.to_ipc(p.select("row_idx", "lng", "lat"))).crossJoin(text).select("n_rows", (F.col("bytes") * 2 < F.col("json")).alias("less"))
+
+
+def focused(spark, sf):
+    idx = index(spark, sf)
+    v = idx.styled(2, focused_id=top(idx), selected_id=None)
+    return v.select("id", F.array_join(F.col("fill_color").cast("array<string>"), ",").alias("fill"))
+
+
+WHOLE = Options()
 
 
 def queries():
     return {
         "project_mercator": project,
         "unproject_mercator": unproject,
-        "masked_points": lambda s, d: source(s, d).where(F.col("row_idx") % 3 != 0).select("row_idx", "lng", "lat"),
-        "indexed_point_count": lambda s, d: index(s, d, mask=F.col("row_idx") % 3 != 0).nodes.where("level = 5").agg(F.count(F.lit(1)).alias("n")),
+        "masked_points": lambda s, d: points.points(source(s, d), ("lng", "lat"), "row_idx", F.col("row_idx") % 3 != 0),
+        "indexed_point_count": lambda s, d: s.createDataFrame([(index(s, d, mask=F.col("row_idx") % 3 != 0).indexed_point_count(),)], "n bigint"),
         "category_mask": lambda s, d: source(s, d).select("row_idx", chosen().alias("keep")),
-        "distinct_categories": lambda s, d: source(s, d).select("category").distinct().orderBy("category"),
-        "filtered_count": lambda s, d: source(s, d).agg(F.count_if(chosen()).alias("n")),
-        "bounds": lambda s, d: source(s, d).agg(F.min("lng").alias("west"), F.min("lat").alias("south"), F.max("lng").alias("east"), F.max("lat").alias("north")),
+        "distinct_categories": lambda s, d: points.categories(source(s, d), "category"),
+        "filtered_count": lambda s, d: points.counted(source(s, d), chosen()),
+        "bounds": lambda s, d: points.bounds(source(s, d), ("lng", "lat")),
         "bbox_points_raw": boxed((-30.5, -20.25, 40.5, 50.75)),
         "bbox_antimeridian": boxed((170.2, -85, -160.7, 85)),
         "bbox_world_wrap": boxed((-200, -85, 200, 85)),
@@ -177,7 +277,27 @@ def queries():
         "cluster_leaves": of_top(lambda i, c, p: i.leaves(c)),
         "leaves_page": of_top(lambda i, c, p: i.leaves(c, limit=50, offset=20)),
         "cluster_descendants": of_top(lambda i, c, p: i.descendants(c)),
-        "expansion_zoom": expansion,
+        "expansion_zoom": lambda s, d: index(s, d).expansion_zooms(),
+        "all_selected": lambda s, d: points.counted(source(s, d), points.chosen("category", ("x", "y"), ("y",))),
+        "geometry_array": form_view(F.array, 4),
+        "geometry_struct": form_view(F.struct, 2),
+        "row_index_builtin": numbered,
+        "row_index_chunks": chunked,
+        "finite_points": flawed,
+        "zoom_clamp": clamped,
+        "zoom_extremes": extremes,
+        "text_angle": angles,
+        "unknown_children": lambda s, d: shown(index(s, d).children(10**12)),
+        "leaves_limit_zero": of_top(lambda i, c, p: i.leaves(c, limit=0)),
+        "distributed_level": distributed(lambda i: shown(i.world(4))),
+        "distributed_hierarchy": distributed(levels_of),
+        "distributed_then_local": distributed(lambda i: shown(i.world(0)), 5000),
+        "default_index_view": lambda s, d: shown(index(s, d, WHOLE).world(3)),
+        "layer_updates": layered,
+        "layer_fly_to": flown,
+        "layer_picks": picked,
+        "wire_size": wire,
+        "styled_focus": focused,
         "saved_index_view": saved_view,
         "geojson_features": geojson,
         "geoparquet_roundtrip": geoparquet,
@@ -260,6 +380,18 @@ def draws_sql(each: int) -> str:
     return f"u AS MATERIALIZED (SELECT i, {state} / {fixtures.MODULUS}.0::DOUBLE u FROM (SELECT unnest(range(1, {each} * (SELECT count(*) FROM orders) + 1)) i))"
 
 
+def layer_sql(one: str, sparse: str, world: str) -> str:
+    """The series of requests: what is made anew follows from the rules, the numbers of nodes from both indexes and a masked one."""
+    half = chain(Options(radius=75, max_zoom=4, min_points=4)).replace("seq, row_idx id, 1::BIGINT n", "seq, row_idx id, 1::BIGINT n", 1).replace("lng, lat FROM p)", "lng, lat FROM p WHERE row_idx % 2 = 0)", 1)
+    count = lambda with_, level: f"({with_} SELECT count(*) FROM nodes WHERE level = {level} AND {world})"
+    steps = [
+        ("first", "index,view", count(one, 2)), ("same", "", count(one, 2)), ("moved", "", count(one, 2)), ("zoomed", "view", count(one, 3)), ("focused", "focus", count(one, 3)),
+        ("options", "index,view,focus", count(sparse, 3)), ("masked", "index,view", count(half, 1)), ("same mask", "", count(half, 1)), ("all", "index,view", count(one, 4)),
+        ("gone", "index,view", "-1"), ("no rows", "index,view", "-1"),
+    ]
+    return " UNION ALL ".join(f"SELECT '{name}' step, '{made}' made, {shown}::BIGINT shown" for name, made, shown in steps)
+
+
 def oracle_sql():
     r = OPTIONS.radius / (OPTIONS.extent * 2.0**OPTIONS.max_zoom)
     one, sparse = chain(OPTIONS), chain(SPARSE)
@@ -293,7 +425,27 @@ def oracle_sql():
         "cluster_leaves": one + "SELECT id row_idx FROM under WHERE n = 1",
         "leaves_page": one + "SELECT id row_idx FROM under WHERE n = 1 ORDER BY path LIMIT 50 OFFSET 20",
         "cluster_descendants": one + "SELECT id FROM under",
-        "expansion_zoom": one + "SELECT DISTINCT id, (id - (SELECT count(*) FROM p)) % 32 AS zoom FROM nodes WHERE n > 1",
+        "expansion_zoom": one + "SELECT parent id, min(level)::BIGINT AS zoom FROM nodes WHERE parent IS NOT NULL GROUP BY parent HAVING count(*) > 1",
+        "all_selected": f"WITH {P} SELECT count(*)::BIGINT n FROM p",
+        "geometry_array": one + f"SELECT {SHOW} FROM nodes WHERE level = 4 AND {world}",
+        "geometry_struct": one + f"SELECT {SHOW} FROM nodes WHERE level = 2 AND {world}",
+        "row_index_builtin": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 row_idx FROM orders",
+        "row_index_chunks": one + f"SELECT {SHOW} FROM nodes WHERE level = 3 AND {world}",
+        "finite_points": f"WITH {P} SELECT row_idx, lng, lat FROM p WHERE row_idx % 7 <> 0 AND row_idx % 11 <> 0 AND row_idx % 13 <> 0",
+        "zoom_clamp": f"SELECT z AS zoom, greatest(0, least(floor(z), 5))::INT shown FROM (VALUES {', '.join(f'({z}::DOUBLE)' for z in ZOOMS)}) t(z)",
+        "zoom_extremes": one + f"SELECT name, count(n)::BIGINT shown, coalesce(sum(n), 0)::BIGINT points FROM (VALUES ('below', 0), ('between', 3), ('above', 5), ('none', -1)) t(name, z) LEFT JOIN (SELECT * FROM nodes WHERE {world}) w ON w.level = z GROUP BY name",
+        "text_angle": "SELECT z AS zoom, globe, CASE WHEN globe AND z <= 12 THEN 180 ELSE 0 END::INT angle FROM (VALUES (0::DOUBLE), (11.9::DOUBLE), (12::DOUBLE), (12.1::DOUBLE), (20::DOUBLE)) t(z), (VALUES (true), (false)) u(globe)",
+        "unknown_children": one + f"SELECT {SHOW} FROM nodes WHERE parent = 1000000000000",
+        "leaves_limit_zero": one + "SELECT id row_idx FROM under WHERE n = 1 LIMIT 0",
+        "distributed_level": one + f"SELECT {SHOW} FROM nodes WHERE level = 4 AND {world}",
+        "distributed_hierarchy": one + "SELECT level, count(*)::BIGINT AS nodes, count(*) FILTER (n > 1)::BIGINT clusters, sum(n)::BIGINT points FROM nodes GROUP BY level",
+        "distributed_then_local": one + f"SELECT {SHOW} FROM nodes WHERE level = 0 AND {world}",
+        "default_index_view": chain(WHOLE) + f"SELECT {SHOW} FROM nodes WHERE level = 3 AND {world}",
+        "layer_updates": layer_sql(one, sparse, world),
+        "layer_fly_to": one + "SELECT 'no index' AS name, 0 AS zoom UNION ALL SELECT 'cluster', least(20, (SELECT min(level) FROM nodes WHERE parent = (SELECT id FROM best)))::INT UNION ALL SELECT 'point', 0 UNION ALL SELECT 'limit', 20",
+        "layer_picks": one + "SELECT true is_cluster, id cluster_id, (SELECT max(n) FROM nodes WHERE nodes.id = best.id)::BIGINT point_count, (SELECT count(*) FROM under WHERE n = 1)::BIGINT n_rows FROM best UNION ALL SELECT false, 12, 1, 1 UNION ALL SELECT false, -1, 0, 0",
+        "wire_size": f"WITH {P} SELECT count(*)::BIGINT n_rows, true less FROM p",
+        "styled_focus": one + f"SELECT id, CASE WHEN id IN (SELECT id FROM best UNION ALL SELECT id FROM under) THEN '100,100,200,200' ELSE '26,26,64,200' END fill FROM nodes WHERE level = 2 AND {world}",
         "saved_index_view": one + f"SELECT {SHOW} FROM nodes WHERE level = 3 AND {world}",
         "geojson_features": f"""WITH {P} SELECT row_idx, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || round(lng, 2) || ',' || round(lat, 2) || ']}},"properties":{{"row_idx":' || row_idx || '}}}}' feature FROM p""",
         "geoparquet_roundtrip": f"WITH {P}, b AS (SELECT floor(min(lng) * 1e6) / 1e6 west, floor(min(lat) * 1e6) / 1e6 south, ceil(max(lng) * 1e6) / 1e6 east, ceil(max(lat) * 1e6) / 1e6 north FROM p) SELECT row_idx, lng, lat, west, south, east, north FROM p, b",

@@ -11,21 +11,18 @@ import math
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from pointloom.sources.points import coordinates, finite
-from pointloom.sources.shared import read_text, write_text
+from pointloom.sources.points import bounds, coordinates
+from pointloom.sources.shared import move_named
 
-#: Spark's reader passes over names that begin with an underscore.
-GEO_FILE = "_geo.json"
 #: Bytes a point takes in memory (two doubles), an id takes, and a table takes besides.
 POINT_BYTES, ID_BYTES, TABLE_BYTES = 16, 4, 1024
 
 
 def geo_metadata(df: DataFrame, geometry="geometry") -> dict:
     """GeoParquet 1.1 description of a point column; the box is widened to millionths of a degree, absent without points."""
-    lng, lat = coordinates(df, geometry)
-    good = df.select(lng.alias("lng"), lat.alias("lat")).where(finite(F.col("lng")) & finite(F.col("lat")))
-    west, south, east, north = good.agg(F.min("lng"), F.min("lat"), F.max("lng"), F.max("lat")).first()
+    west, south, east, north = bounds(df, geometry).first()
     column = {"encoding": "point", "geometry_types": ["Point"]}
     if west is not None:
         down, up = (lambda v: math.floor(v * 1e6) / 1e6), (lambda v: math.ceil(v * 1e6) / 1e6)
@@ -34,21 +31,56 @@ def geo_metadata(df: DataFrame, geometry="geometry") -> dict:
 
 
 def write_geoparquet(df: DataFrame, path: str, geometry="geometry") -> dict:
-    """Writes ``df`` with its points as one column struct<x, y>, ZSTD, and returns the description.
+    """Writes ``df`` as GeoParquet files, ZSTD, its points as one column struct<x, y>, and returns the description.
 
-    Spark's writer takes no file-level entries, so the description lies beside the files as ``_geo.json``.
+    The description belongs into every file's footer, where Spark's writer puts no entries: tasks write their files
+    themselves, each under a name of its own, and the driver moves those that finished tasks name, so what lost or
+    repeated tasks left is not seen. ``path`` must be new and open to pyarrow (local or shared folder, HDFS, S3, GCS).
     """
     lng, lat = coordinates(df, geometry)
     taken = {geometry} if isinstance(geometry, str) else set(geometry)
     rest = [F.col(f"`{c}`") for c in df.columns if c not in taken]
     known = geo_metadata(df, geometry)
-    df.select(F.struct(lng.alias("x"), lat.alias("y")).alias("geometry"), *rest).write.option("compression", "zstd").parquet(path)
-    write_text(df.sparkSession, f"{path}/{GEO_FILE}", json.dumps(known))
+    entry = {b"geo": json.dumps(known).encode()}
+    parts = f"{path}/_parts"
+
+    def run(batches):
+        import uuid
+
+        from pyarrow import fs, parquet
+
+        files, folder = fs.FileSystem.from_uri(parts)
+        writer, name, n = None, f"part-{uuid.uuid4().hex}.parquet", 0
+        for batch in batches:
+            if writer is None:
+                files.create_dir(folder, recursive=True)
+                schema = batch.schema.with_metadata({**(batch.schema.metadata or {}), **entry})
+                writer = parquet.ParquetWriter(f"{folder}/{name}", schema, filesystem=files, compression="zstd")
+            writer.write_batch(batch.replace_schema_metadata(schema.metadata))
+            n += batch.num_rows
+        if writer is not None:
+            writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["name", "n"])
+
+    rows = df.select(F.struct(lng.alias("x"), lat.alias("y")).alias("geometry"), *rest)
+    # A row a file; a table without rows is one empty file.
+    names = [r["name"] for r in rows.mapInArrow(run, "name string, n bigint").collect()]
+    names = names or [r.column("name")[0].as_py() for r in run([pa.RecordBatch.from_pylist([], to_arrow_schema(rows.schema))])]
+    move_named(df.sparkSession, parts, path, names)
     return known
 
 
 def read_geoparquet(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    return spark.read.parquet(path), json.loads(read_text(spark, f"{path}/{GEO_FILE}"))
+    """The rows of GeoParquet files, of this writer or another, and the description in the footer of one of them; empty where there is none."""
+    rows = spark.read.parquet(path)
+    name = rows.select(F.input_file_name()).first()
+    known = {}
+    if name is not None:
+        from pyarrow import fs, parquet
+
+        files, where = fs.FileSystem.from_uri(name[0])
+        known = json.loads((parquet.read_metadata(where, filesystem=files).metadata or {}).get(b"geo", b"{}"))
+    return rows, known
 
 
 def geojson(lng: Column, lat: Column, **properties: Column) -> Column:
@@ -82,6 +114,11 @@ def from_ipc(streams: DataFrame, schema) -> DataFrame:
     return streams.select("stream").mapInArrow(run, schema)
 
 
+def ipc_bytes(streams: DataFrame) -> DataFrame:
+    """(n_rows, bytes) of Arrow IPC streams as measured."""
+    return streams.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.octet_length("stream")), F.lit(0)).alias("bytes"))
+
+
 def estimated_bytes(rows: Column) -> Column:
     """Memory that so many points with ids take as columns."""
     return rows * (POINT_BYTES + ID_BYTES) + TABLE_BYTES

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,5 +49,34 @@ def points(df: DataFrame, geometry: str | tuple[str, str] = "geometry", row_inde
     """(row_idx, lng, lat) of the rows to index: masked ones and those without finite coordinates are left out."""
     lng, lat = coordinates(df, geometry)
     rows = df if row_index else with_row_index(df)
-    rows = rows.where(mask) if mask is not None else rows
+    rows = masked(rows, mask)
     return rows.select(F.col(row_index or "row_idx").cast("long").alias("row_idx"), lng.alias("lng"), lat.alias("lat")).where(finite(F.col("lng")) & finite(F.col("lat")))
+
+
+def masked(df: DataFrame, mask: Column | None) -> DataFrame:
+    """The rows a mask keeps; all without one, none where it is null."""
+    return df if mask is None else df.where(mask)
+
+
+def chosen(column: str, wanted: Collection, known: Collection | None = None) -> Column | None:
+    """Mask of the rows whose category is wanted (a null one is not); no mask at all where every known category is."""
+    if known is not None and set(known) <= set(wanted):
+        return None
+    return F.coalesce(F.col(column).isin(*wanted), F.lit(False)) if len(wanted) else F.lit(False)
+
+
+def categories(df: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column in order, without null."""
+    return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
+
+
+def counted(df: DataFrame, mask: Column | None = None) -> DataFrame:
+    """(n): the rows a mask keeps."""
+    return df.agg((F.count(F.lit(1)) if mask is None else F.count_if(mask)).alias("n"))
+
+
+def bounds(df: DataFrame, geometry="geometry") -> DataFrame:
+    """(west, south, east, north) of the rows with finite coordinates; nulls without any."""
+    lng, lat = coordinates(df, geometry)
+    good = df.select(lng.alias("lng"), lat.alias("lat")).where(finite(F.col("lng")) & finite(F.col("lat")))
+    return good.agg(F.min("lng").alias("west"), F.min("lat").alias("south"), F.max("lng").alias("east"), F.max("lat").alias("north"))

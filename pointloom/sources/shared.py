@@ -64,6 +64,18 @@ def read_text(spark: SparkSession, path: str) -> str:
         lines.close()
 
 
+def move_named(spark: SparkSession, source: str, target: str, names: list[str]) -> None:
+    """Moves these files from one folder to another, which is made, and removes the first with what else is in it."""
+    files, where = _file(spark, source)
+    to = _file(spark, target)[1]
+    files.mkdirs(to)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for name in names:
+        if not files.rename(path(where, name), path(to, name)):
+            raise OSError(f"{name} could not be moved to {target}")
+    files.delete(where, True)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         files, where = _file(spark, path)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import documents, forget, only, release, sized, small_batches, stored
+from pointloom.llm.common import documents, forget, only, release, sized, small_batches, stored, tidy
 
 #: A shingle in fewer texts than this is rare: its list is shorter than this, so rare ones need no order by count.
 RARE = 16
@@ -175,8 +175,8 @@ def frequent(df: DataFrame, text_col: str, width: int, rare: int = RARE) -> tupl
         if held:
             yield summed(held)
 
-    partial = only(df, text_col).mapInArrow(count, "bucket bigint, once binary, more binary, times binary")
-    whole = partial.repartition(min(buckets, 100_000), "bucket").sortWithinPartitions("bucket").mapInArrow(add, "h bigint, c bigint, rare bigint, partners bigint")
+    partial = only(df, text_col).mapInArrow(tidy(count), "bucket bigint, once binary, more binary, times binary")
+    whole = partial.repartition(min(buckets, 100_000), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(add), "h bigint, c bigint, rare bigint, partners bigint")
     whole = stored(whole, "shingle-counts")
     seen, partners = whole.agg(F.sum("rare"), F.sum("partners")).first()
     return whole.filter("c > 0").select("h", "c"), partners / seen if seen else 0.0
@@ -226,7 +226,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, width: int, percent: int,
             arrays = [pa.array(c, k) for c, k in zip((size, one, two, some, ask), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *arrays], ["id", "n", "fp1", "fp2", "some", "ask"])
 
-    return only(df, id_col, text_col).mapInArrow(run, schema)
+    return only(df, id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def ranked(sets: DataFrame, often: DataFrame, partners: float, percent: int) -> DataFrame:
@@ -299,7 +299,7 @@ def whole_sets(df: DataFrame, members: DataFrame, id_col: str, text_col: str, wi
             sets = [shingles(t.as_py(), width).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cid", "n", "some"])
 
-    return only(df, id_col, text_col).join(members.withColumnRenamed("cid", id_col), id_col, "left_semi").mapInArrow(run, "cid bigint, n bigint, some array<bigint>")
+    return only(df, id_col, text_col).join(members.withColumnRenamed("cid", id_col), id_col, "left_semi").mapInArrow(tidy(run), "cid bigint, n bigint, some array<bigint>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -320,7 +320,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.join(hot, "a", "left").withColumn("share", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1))))
     first = first.join(hot, "a", "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1)) - 1)))
     joined = pairs.drop("shares").join(first.drop("shares"), ["a", "share"]).join(second, "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def verified(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int, label: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import documents, fold, only, small_batches, unit_hash
+from pointloom.llm.common import documents, fold, only, small_batches, unit_hash, tidy
 
 #: Bounds of the training sample: languages (the most frequent), documents a language, characters of a slice.
 SAMPLE_LANGS, SAMPLE_DOCS, SLICE_CHARS = 256, 400, 512
@@ -241,7 +241,7 @@ def keep(df: DataFrame, model: tuple[list[str], dict | None], text_col: str = "t
             good = [lang != "und" and s >= least for lang, s in zip(best, score)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def predict(df: DataFrame, model: tuple[list[str], dict | None], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,7 +255,7 @@ def predict(df: DataFrame, model: tuple[list[str], dict | None], id_col: str = "
             best, score = verdicts(model, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], [id_col, "lang_pred", "score"])
 
-    return only(df, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return only(df, id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def identify(df: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import documents, only, small_batches, stored
+from pointloom.llm.common import documents, only, small_batches, stored, tidy
 
 CAPACITY, END = 1024, 2
 #: Rows of a length that are ranked by one task.
@@ -95,7 +95,7 @@ def tokenized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap
             names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names[: len(rows)])
 
-    return only(df, id_col, text_col).mapInArrow(run, schema)
+    return only(df, id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:

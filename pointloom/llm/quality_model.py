@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import documents, fold, only, small_batches, stored, unit_hash
+from pointloom.llm.common import documents, fold, only, small_batches, stored, unit_hash, tidy
 
 #: Bound of the labelled rows the model is fitted on.
 SAMPLE_ROWS = 20_000
@@ -70,7 +70,7 @@ def described(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             x = [statistics(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], [id_col, "x"])
 
-    return only(df, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, x array<double>")
+    return only(df, id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, x array<double>")
 
 
 def labelled(labels: DataFrame, label_col: str, trains, rows: int, id_col: str = "doc_id") -> DataFrame:
@@ -156,7 +156,7 @@ def scored(rows: DataFrame, model: dict | None, id_col: str = "doc_id") -> DataF
                 score = chance(margin(model, x) * w[0] + w[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], [id_col, "score"])
 
-    return only(rows, id_col, "x").mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return only(rows, id_col, "x").mapInArrow(tidy(run), f"`{id_col}` {kind}, score double")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

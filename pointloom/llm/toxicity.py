@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import documents, fold, only, small_batches, stored
+from pointloom.llm.common import documents, fold, only, small_batches, stored, tidy
 from pointloom.llm.quality_model import chance, labelled, logistic, training_rows
 
 #: Labelled texts the lexicon is learned from; terms that share one automaton, whose states would else grow too many.
@@ -220,7 +220,7 @@ def lexicon(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> l
                 [pa.array(list(tally), pa.string()), pa.array([v[1] for v in tally.values()], pa.int64()), pa.array([v[0] for v in tally.values()], pa.int64())], ["term", "a", "b"]
             )
 
-    tallies = rows.mapInArrow(count, "term string, a bigint, b bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    tallies = rows.mapInArrow(tidy(count), "term string, a bigint, b bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     strong = (F.col("a") / sizes[1]) / ((F.col("b") + 0.5) / sizes[0]) >= 20
     found = tallies.filter((F.col("a") >= least) & strong).collect()
     names = sorted(r["term"] for r in found)
@@ -233,7 +233,7 @@ def lexicon(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> l
             kept = [sorted(numbers[w] for w in terms_of(t.as_py() or "") if w in numbers) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.list_(pa.int32()))], ["terms"])
 
-    covers = [np.array(r["terms"], np.int64) for r in rows.filter("y = 1").select(text_col).mapInArrow(which, "terms array<int>").collect()]
+    covers = [np.array(r["terms"], np.int64) for r in rows.filter("y = 1").select(text_col).mapInArrow(tidy(which), "terms array<int>").collect()]
     chosen = [names[k] for k in cover(covers, names, least)]
     return with_company(chosen, {r["term"]: (r["a"], r["b"]) for r in found}, sizes)
 
@@ -342,7 +342,7 @@ def described(df: DataFrame, terms: list[tuple[str, bool, int]], id_col: str = "
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = f"`{id_col}` {kind}, x array<double>" + (", hits array<struct<start:bigint,length:bigint,edits:bigint,quoted:boolean,addressed:boolean>>" if spans else "")
-    return only(df, id_col, text_col).mapInArrow(run, schema)
+    return only(df, id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def scored(rows: DataFrame, weights: np.ndarray | None) -> DataFrame:

@@ -3,8 +3,9 @@
 Each level counts its groups with a partial aggregation and only members of groups of two or more go
 on to the next, wider key; the digest of the full content is compared for those survivors alone.
 Texts are equal when identical after every run of white space becomes one space. Groups are never
-gathered: a group is a row of (smallest id, size), joined back to its members by a sort-merge join
-whose large partitions AQE may split, so a group holding a third of the table is no obstacle.
+gathered: a group is a row of (smallest id, size), joined back to its members where they are: the list of
+groups is sent to every task behind a count, and beyond it joined by a sort-merge join whose large partitions
+AQE may split, so a group holding a third of the table is no obstacle.
 
 Defined results: null counts as the empty text; rows with a null id never stay unless all ids of
 their group are null; rows with the same id and the same text are all reported, and each is counted.
@@ -46,7 +47,7 @@ def groups(rows: DataFrame) -> DataFrame:
 
     # Lengths are few and sent to every task, so rows of one length do not meet in a task.
     by_length = rows.join(sized(shared(rows.select("n"), "n"), "exact-lengths"), "n", "left_semi")
-    by_prefix = by_length.join(shared(by_length.select("n", "prefix"), "n", "prefix"), ["n", "prefix"], "left_semi")
+    by_prefix = by_length.join(sized(shared(by_length.select("n", "prefix"), "n", "prefix"), "exact-prefixes"), ["n", "prefix"], "left_semi")
     whole = by_prefix.groupBy("n", "prefix", "digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("size"))
     return whole.filter("size > 1")
 
@@ -54,7 +55,7 @@ def groups(rows: DataFrame) -> DataFrame:
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``."""
     rows = stored(profile(df, id_col, text_col), "exact-profile")
-    found = stored(groups(rows), "exact-groups")
+    found = sized(groups(rows), "exact-groups")
     return rows.join(found, ["n", "prefix", "digest"], "left").select(
         F.col("id").alias(id_col),
         F.coalesce("keep_id", "id").alias("keep_id"),
@@ -71,7 +72,7 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     text the first in order of their JSON stays. Only groups of copies are listed, not copies.
     """
     rows = stored(profile(df, id_col, text_col), "exact-profile")
-    copies = rows.join(groups(rows).select("n", "prefix", "digest"), ["n", "prefix", "digest"], "left_semi")
+    copies = rows.join(sized(groups(rows).select("n", "prefix", "digest"), "exact-groups"), ["n", "prefix", "digest"], "left_semi")
     copies = copies.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("size"))
     best = copies.groupBy(F.unhex("digest").alias("_exact_key")).agg(F.min(F.struct(F.col("id").isNull(), "id", "size")).alias("_exact_best"))
     best = sized(best.select("_exact_key", F.col("_exact_best.id").alias("_exact_id"), F.col("_exact_best.size").alias("_exact_size")), "exact-copies")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import only
+from pointloom.llm.common import only, stored
 
 BLOCK = 1 << 14
 #: Headers that describe the body or the connection, which a 304 answer must not replace.
@@ -52,6 +52,7 @@ def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
     (record_id, canonical_url, at, response_id, outcome, headers): merged headers where it is resolved.
     """
     rows = only(records, "record_id", "kind", "url", "at", "headers").select("record_id", "kind", canonical_url(F.col("url")).alias("u"), F.col("at").cast("long").alias("at"), "headers")
+    rows = stored(rows, "warc-records")  # read for responses, for revisits and for both: their URLs are worked out once
     full = rows.filter("kind = 'response' and u is not null and at is not null")
     asked = rows.filter("kind = 'revisit'")
     moments = full.select("u", "at", "record_id").unionByName(asked.filter("u is not null and at is not null").select("u", "at", F.lit(None).cast(full.schema["record_id"].dataType).alias("record_id")))
@@ -63,9 +64,9 @@ def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
     blocks = blocks.select("u", "b", F.last("last", ignorenulls=True).over(before).getField("r").alias("carried"))
     found = moments.withColumn("near", F.last("r", ignorenulls=True).over(inside)).join(blocks, ["u", "b"])
     found = found.select("u", "at", F.coalesce("near", "carried").alias("response_id")).filter("response_id is not null")
-    stored = full.select(F.col("record_id").alias("response_id"), F.col("u").alias("_u"), F.col("headers").alias("old")).dropDuplicates(["response_id", "_u"])
+    bodies = full.select(F.col("record_id").alias("response_id"), F.col("u").alias("_u"), F.col("headers").alias("old")).dropDuplicates(["response_id", "_u"])
     answered = asked.join(found, ["u", "at"], "left")
-    answered = answered.join(stored, (answered["response_id"] == stored["response_id"]) & (answered["u"] == stored["_u"]), "left").drop(stored["response_id"])
+    answered = answered.join(bodies, (answered["response_id"] == bodies["response_id"]) & (answered["u"] == bodies["_u"]), "left").drop(bodies["response_id"])
     empty = F.create_map().cast("map<string,string>")
     new, old = lower_keys(F.coalesce("headers", empty)), lower_keys(F.coalesce("old", empty))
     answered = answered.select("record_id", "u", "at", "response_id", new.alias("new"), old.alias("old"))
@@ -101,26 +102,25 @@ def crawls(pages: DataFrame) -> DataFrame:
     def tag(version: int) -> Column:
         return F.concat(F.lit('"'), F.col("print"), F.lit(f'-{version}"'))
 
-    def record(number: int, kind: str, later: int, *headers) -> DataFrame:
+    def record(number: int, kind: str, later: int, *headers) -> Column:
         made = F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in headers]) if headers else F.lit(None).cast("map<string,string>")
-        return base.select((page * 8 + number).alias("record_id"), F.lit(kind).alias("kind"), "url", (F.col("at") + later).alias("at"), made.alias("headers"))
+        return F.struct((page * 8 + number).alias("record_id"), F.lit(kind).alias("kind"), (F.col("at") + later).alias("at"), made.alias("headers"))
 
     def day(later: int) -> Column:
         return (F.col("at") + later).cast("string")
 
-    def answer(version: int) -> DataFrame:
+    def answer(version: int) -> Column:
         return record(version, "response", version * GAP, "ETag", tag(version), "Content-Type", "text/html", "Content-Length", F.col("size"), "Last-Modified", day(version * GAP), "Cache-Control", "max-age=60")
 
-    asked = [
+    records = [
+        answer(0),
+        answer(1),
         record(4, "revisit", ASKED[0], "etag", tag(0)),
         record(5, "revisit", ASKED[1], "etag", F.concat(F.lit("W/"), F.when(page % 3 == 0, tag(1)).otherwise(tag(0))), "content-length", "0", "expires", "0"),
         record(6, "revisit", ASKED[2], "last-modified", day(0), "date", day(GAP)),
         record(7, "revisit", ASKED[3]),
     ]
-    out = answer(0).unionByName(answer(1))
-    for more in asked:
-        out = out.unionByName(more)
-    return out
+    return base.select("url", F.explode(F.array(*records)).alias("r")).select("r.record_id", "r.kind", "url", "r.at", "r.headers")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,14 +51,13 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ),
     )
     # Equal windows lie in one run of equal high bits. In a run of one window a neighbour tells; where two that differ
-    # share these bits (rare), the whole list is searched.
+    # share these bits (rare), the whole list is searched. Beyond the ends there is null, which is not true.
     near, place = "(x & -_m) = ({y} & -_m)", "cast({y} & (_m - 1) as int)"
     words = " and ".join(f"get(_w, cast(x & (_m - 1) as int) + {j}) = get(_w, {place} + {j})" for j in range(3))
-    above, below = "coalesce(get(_s, k - 1), 0L)", "coalesce(get(_s, k + 1), 0L)"
-    found = " or ".join([f"(k > 0 and {near} and {words})".format(y=above), f"(k < size(_s) - 1 and {near} and {words})".format(y=below)])
-    mixed = " or ".join([f"(k > 0 and {near})".format(y=above), f"(k < size(_s) - 1 and {near})".format(y=below)])
+    above, below = ({"y": f"get(_s, k {sign} 1)"} for sign in "-+")
     again = f"exists(_s, z -> z <> x and {near} and {words})".format(y="z")
-    df = df.withColumn("_p", F.expr(f"filter(_s, (x, k) -> {found} or (({mixed}) and {again}))"))
+    found = f"({words.format(**above)}) or ({words.format(**below)}) or {again}"
+    df = df.withColumn("_p", F.expr(f"filter(_s, (x, k) -> if({near.format(**above)} or {near.format(**below)}, {found}, false))"))
     df = df.select(
         F.col(id_col),
         "n_words",

@@ -24,7 +24,7 @@ def folder(spark: SparkSession) -> str:
 def fresh(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, removed when the driver ends."""
     path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
@@ -76,7 +76,8 @@ def move_named(spark: SparkSession, source: str, target: str, names: list[str])
     files.delete(where, True)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a path, if it is there."""
     try:
         files, where = _file(spark, path)
         files.delete(where, True)

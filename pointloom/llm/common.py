@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import pointloom.llm
+from pointloom.sources.shared import fresh, remove
 
 # Worker functions travel by value, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(pointloom.llm)
@@ -26,26 +24,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-        found = f"file://{tempfile.mkdtemp(prefix='pointloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
 
     The table is removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = fresh(spark, label)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -54,7 +40,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Remove a table of :func:`stored` that nothing reads any more, and let Spark drop shuffle files of finished steps."""
     spark = df.sparkSession
-    _remove(spark, df._stored_at)
+    remove(spark, df._stored_at)
     release(spark)
 
 
@@ -82,15 +68,6 @@ def tidy(run):
     return done
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may be gone; the folder is temporary then
-        return
-
-
 def words_of(text: Column) -> Column:
     """Array of the words of a text; empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{WS}+"), "")

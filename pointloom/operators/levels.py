@@ -36,8 +36,8 @@ def neighbours(nodes: DataFrame, r: float) -> DataFrame:
     return probe.join(held, ["cx", "cy"]).where((F.col("src") < F.col("dst")) & (dx * dx + dy * dy <= r * r)).select("src", "dst")
 
 
-#: Rounds over tables before the nodes still open, if they are few enough, are decided in order inside one task.
-ROUNDS, LOCAL_OPEN = 8, 1_000_000
+#: Once no more nodes than this are open (counted after every round), they are decided in order inside one task.
+LOCAL_OPEN = 1_000_000
 
 
 def owners(nodes: DataFrame, r: float, store, local_open: int = LOCAL_OPEN) -> DataFrame:
@@ -52,7 +52,7 @@ def owners(nodes: DataFrame, r: float, store, local_open: int = LOCAL_OPEN) -> D
         return F.floor(F.col(c) / side).cast("long")
 
     open_ = store(nodes.select("seq", "x", "y", "tx", "ty", cell("x").alias("sx"), cell("y").alias("sy"), cell("tx").alias("dx"), cell("ty").alias("dy")))
-    every, rounds, decided = open_, 0, None
+    every, decided = open_, None
     while True:
         first = open_.groupBy("dx", "dy").agg(F.min(F.struct("seq", "x", "y", "tx", "ty", "sx", "sy")).alias("c"))
         first = store(first.select("c.*", "dx", "dy"))
@@ -63,10 +63,10 @@ def owners(nodes: DataFrame, r: float, store, local_open: int = LOCAL_OPEN) -> D
         decided = origins if decided is None else decided.unionByName(origins)
         gone = reached(open_, origins, r).select("seq").distinct().unionByName(origins.select("seq"))
         open_ = store(open_.join(gone, "seq", "left_anti"))
-        rounds, left = rounds + 1, open_.count()
+        left = open_.count()
         if not left:
             break
-        if rounds >= ROUNDS and left <= local_open:
+        if left <= local_open:
             decided = decided.unionByName(store(in_order(open_, r)))
             break
     first = reached(every, decided, r).groupBy("seq").agg(F.min("o").alias("o"))
@@ -113,7 +113,7 @@ def in_order(open_: DataFrame, r: float) -> DataFrame:
     return open_.coalesce(1).mapInArrow(run, "seq bigint, x double, y double, sx bigint, sy bigint")
 
 
-def coarser(nodes: DataFrame, zoom: int, radius: float, extent: float, min_points: int, num_rows: int, store) -> tuple[DataFrame, DataFrame]:
+def coarser(nodes: DataFrame, zoom: int, radius: float, extent: float, min_points: int, num_rows: int, store, local_open: int = LOCAL_OPEN) -> tuple[DataFrame, DataFrame]:
     """(nodes of ``zoom``, (seq, parent_id) of the finer nodes). ``store`` materialises a DataFrame.
 
     Sums are of decimals, so they are exact and do not depend on the partitioning, and partial: a place or cluster
@@ -122,7 +122,7 @@ def coarser(nodes: DataFrame, zoom: int, radius: float, extent: float, min_point
     r = radius / (extent * 2.0**zoom)
     # Nodes at one place have the same neighbours: the first stands for all.
     place = store(nodes.groupBy("x", "y").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("m"), F.sum("num_points").alias("n")))
-    found = owners(place.withColumn("tx", fround(F.col("x"))).withColumn("ty", fround(F.col("y"))), r, store)
+    found = owners(place.withColumn("tx", fround(F.col("x"))).withColumn("ty", fround(F.col("y"))), r, store, local_open)
     place = store(place.join(found, "seq"))
     weighed = lambda c: F.sum(F.col(c).cast("decimal(20,18)") * F.col("n").cast("decimal(15,0)")).cast("double")
     groups = place.groupBy("owner").agg(F.sum("m").alias("m"), F.sum("n").alias("total"), weighed("x").alias("wx"), weighed("y").alias("wy"))

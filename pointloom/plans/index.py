@@ -58,7 +58,7 @@ class ClusterIndex:
     # building
 
     @classmethod
-    def build(cls, df: DataFrame, geometry="geometry", row_index: str | None = None, mask: Column | None = None, options: Options = Options(), local_nodes: int = LOCAL_NODES) -> ClusterIndex:
+    def build(cls, df: DataFrame, geometry="geometry", row_index: str | None = None, mask: Column | None = None, options: Options = Options(), local_nodes: int = LOCAL_NODES, local_open: int = levels.LOCAL_OPEN) -> ClusterIndex:
         spark = df.sparkSession
         num_rows = df.count()
         store = storage(spark)
@@ -73,7 +73,7 @@ class ClusterIndex:
             level = store(levels.dense(base, ["node_id"]).select(*levels.COLUMNS))
             while zoom >= options.min_zoom and n > local_nodes:
                 finer = level
-                level, parents = levels.coarser(finer, zoom, options.radius, options.extent, options.min_points, num_rows, store)
+                level, parents = levels.coarser(finer, zoom, options.radius, options.extent, options.min_points, num_rows, store, local_open)
                 done.append(store(finer.join(parents, "seq").select(F.lit(zoom + 1).alias("level"), *NODE_ORDER)))
                 zoom, n = zoom - 1, level.count()
         done.append(store(local_levels(level, zoom, options, num_rows)))

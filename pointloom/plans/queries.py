@@ -63,7 +63,7 @@ def origins(spark, sf):
     store = storage(spark)
     p = source(spark, sf).select(F.col("row_idx").alias("seq"), mercator.fround(mercator.lng_x(F.col("lng"))).alias("x"), mercator.fround(mercator.lat_y(F.col("lat"))).alias("y"))
     p = store(p.withColumn("tx", F.col("x")).withColumn("ty", F.col("y")))
-    return levels.owners(p, OPTIONS.radius / (OPTIONS.extent * 2.0**OPTIONS.max_zoom), store)
+    return levels.owners(p, OPTIONS.radius / (OPTIONS.extent * 2.0**OPTIONS.max_zoom), store, local_open=1500)
 
 
 def hierarchy(spark, sf):
@@ -193,8 +193,8 @@ def angles(spark, sf):
 
 
 def distributed(get, local_nodes=0):
-    """The index by joins alone, or down to so many nodes."""
-    return lambda spark, sf: get(ClusterIndex.build(source(spark, sf), geometry=("lng", "lat"), row_index="row_idx", options=OPTIONS, local_nodes=local_nodes))
+    """The index by joins alone, or down to so many nodes; so few open nodes that rounds are run are left to the task that ends a level."""
+    return lambda spark, sf: get(ClusterIndex.build(source(spark, sf), geometry=("lng", "lat"), row_index="row_idx", options=OPTIONS, local_nodes=local_nodes, local_open=1500))
 
 
 def levels_of(idx):

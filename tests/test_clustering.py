@@ -84,6 +84,14 @@ def test_joins_and_local_levels_agree(spark):
     pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)
 
 
+def test_rounds_by_joins_alone(spark):
+    """No node is left to a single task: rounds over cells to the end."""
+    rows = [(i, [i % 10 * 0.9, i // 10 * 0.9]) for i in range(60)]
+    o = Options(radius=75, max_zoom=5, min_zoom=5)
+    a, b = (ClusterIndex.build(table(spark, rows), row_index="row_idx", options=o, local_nodes=n, local_open=0).nodes.toPandas().sort_values(["level", "seq"]).reset_index(drop=True) for n in (10**6, 0))
+    pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)
+
+
 def test_long_chain_of_dependencies(spark):
     rows = [(i, [i * 0.01, 0.0]) for i in range(400)]
     o = Options(radius=60, max_zoom=8, min_zoom=7)
@@ -93,7 +101,7 @@ def test_long_chain_of_dependencies(spark):
 
 
 def test_joins_finish_long_chains(spark):
-    """A chain of 400 by joins: a bounded number of rounds over tables, then in order."""
+    """A chain of 400 by joins: a round over tables, then the few nodes left in order."""
     rows = [(i, [i * 0.01, 0.0]) for i in range(400)]
     a, b = (build(spark, rows, local_nodes=n, radius=60, max_zoom=8, min_zoom=8).nodes.toPandas().sort_values(["level", "seq"]).reset_index(drop=True) for n in (10**6, 0))
     pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)

@@ -6,6 +6,8 @@ independent set of the radius graph, every other node joins its earliest origin,
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -113,26 +115,126 @@ def in_order(open_: DataFrame, r: float) -> DataFrame:
     return open_.coalesce(1).mapInArrow(run, "seq bigint, x double, y double, sx bigint, sy bigint")
 
 
-def coarser(nodes: DataFrame, zoom: int, radius: float, extent: float, min_points: int, num_rows: int, store, local_open: int = LOCAL_OPEN) -> tuple[DataFrame, DataFrame]:
-    """(nodes of ``zoom``, (seq, parent_id) of the finer nodes). ``store`` materialises a DataFrame.
+#: First open nodes that are decided at once in one task, before a scan finds all nodes near their origins.
+FIRST = 250_000
+#: Ranges of ``seq`` whose open nodes are counted to find the first ones.
+RANGES = 4096
+#: A table of merged nodes is sent to every task up to so many.
+MOST_SENT = 1_000_000
+KEPT = ["seq", "node_id", "x", "y", "num_points", "lng", "lat"]
+OWNED = "seq bigint, node_id bigint, x double, y double, num_points bigint, lng double, lat double, owner bigint"
+
+
+def gathered(batches, rows: int = 200_000):
+    """Batches joined to larger ones."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if size:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def placed(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("tx", fround(F.col("x"))).withColumn("ty", fround(F.col("y")))
+
+
+def owned(nodes: DataFrame, origins: tuple, r: float) -> DataFrame:
+    """Nodes with ``owner``, the first of these origins (seq, x, y, in order) that reaches them; null for none."""
+    known, grid_of, join = nodes.sparkSession.sparkContext.broadcast(origins), local.Grid, gathered
+
+    def run(batches):
+        at, x, y = known.value
+        grid, none = grid_of(x, y, r), len(at)
+        for batch in join(batches):
+            seq = np.asarray(batch.column("seq"))
+            tx, ty = (np.asarray(batch.column(k)).astype(np.float32).astype(np.float64) for k in ("x", "y"))
+            best = np.full(len(seq), none, np.int64)
+            for who, origin in grid.near(tx, ty):
+                after = at[origin] < seq[who]
+                np.minimum.at(best, who[after], origin[after])
+            own = np.minimum(np.searchsorted(at, seq), none - 1)
+            best = np.where(at[own] == seq, own, best)
+            found = pa.array(at[np.minimum(best, none - 1)], mask=best == none)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "owner"])
+
+    return nodes.select(*KEPT).mapInArrow(run, OWNED)
+
+
+def by_first(nodes: DataFrame, n: int, r: float, store, local_open: int = LOCAL_OPEN) -> tuple[list[DataFrame], DataFrame | None, int]:
+    """(tables of nodes with their owner, nodes still open or None, number of origins), by rounds over the first open nodes.
+
+    These are decided in order in one task. A scan without a shuffle then gives every node near their origins its owner,
+    and for good: the origins of later rounds come after all of these. Where most of the first nodes are origins, or
+    a round leaves more than half open, the rest is left to the caller; no open node is near an origin found here.
+    """
+    done, open_, left, limit, found = [], nodes, n, min(FIRST, local_open), 0
+    first = min(limit, n)
+    most = first
+    while left:
+        if not most:
+            return done, open_, found
+        origins = in_order(placed(open_.where(F.col("seq") < limit)).withColumn("sx", F.lit(0).cast("long")).withColumn("sy", F.lit(0).cast("long")), r)
+        origins = origins.select("seq", "x", "y").toArrow().sort_by("seq")
+        at = tuple(np.asarray(origins.column(k).to_numpy()) for k in ("seq", "x", "y"))
+        if first < left and 2 * len(at[0]) > first:
+            return done, open_, found
+        found += len(at[0])
+        rows = store(owned(open_, at, r))
+        done.append(rows.where("owner is not null"))
+        open_ = rows.where("owner is null").drop("owner")
+        counts = sorted(open_.groupBy(F.floor(F.col("seq") * F.lit(RANGES) / F.lit(n)).cast("long").alias("k")).count().collect())
+        before, left, first = left, sum(c for _, c in counts), 0
+        for k, c in counts:
+            if first and first + c > most:
+                break
+            first, limit = first + c, -(-(k + 1) * n // RANGES)
+        if 2 * left > before:
+            return done, open_, found
+    return done, None, found
+
+
+def by_joins(nodes: DataFrame, r: float, store, local_open: int = LOCAL_OPEN) -> DataFrame:
+    """Nodes with their owner, by rounds over cells."""
+    # Nodes at one place have the same neighbours: the first stands for all.
+    place = store(nodes.groupBy("x", "y").agg(F.min("seq").alias("seq")))
+    place = place.join(owners(placed(place), r, store, local_open), "seq")
+    return store(nodes.select(*KEPT).join(place.select("x", "y", "owner"), ["x", "y"]))
+
 
-    Sums are of decimals, so they are exact and do not depend on the partitioning, and partial: a place or cluster
+def weighed(c: str) -> list:
+    """Sums of a coordinate by weight, in two whole numbers of 2^-30 and 2^-60: exact in any order."""
+    scaled = F.col(c) * F.lit(2.0**30)
+    high = F.floor(scaled).cast("long")
+    low = F.floor((scaled - high) * F.lit(2.0**30)).cast("long")
+    return [F.sum(high * F.col("num_points")).alias(f"{c}1"), F.sum(low * F.col("num_points")).alias(f"{c}2")]
+
+
+def coarser(nodes: DataFrame, n: int, zoom: int, radius: float, extent: float, min_points: int, num_rows: int, store, local_open: int = LOCAL_OPEN) -> tuple[DataFrame, DataFrame]:
+    """(nodes of ``zoom``, the ``n`` finer nodes with their parent_id). ``store`` materialises a DataFrame.
+
+    Sums are of whole numbers, so they are exact and do not depend on the partitioning, and partial: a place or cluster
     of any number of nodes is one row after them.
     """
     r = radius / (extent * 2.0**zoom)
-    # Nodes at one place have the same neighbours: the first stands for all.
-    place = store(nodes.groupBy("x", "y").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("m"), F.sum("num_points").alias("n")))
-    found = owners(place.withColumn("tx", fround(F.col("x"))).withColumn("ty", fround(F.col("y"))), r, store, local_open)
-    place = store(place.join(found, "seq"))
-    weighed = lambda c: F.sum(F.col(c).cast("decimal(20,18)") * F.col("n").cast("decimal(15,0)")).cast("double")
-    groups = place.groupBy("owner").agg(F.sum("m").alias("m"), F.sum("n").alias("total"), weighed("x").alias("wx"), weighed("y").alias("wy"))
+    rows, open_, found = by_first(nodes, n, r, store, local_open)
+    if open_ is not None:
+        rows.append(by_joins(open_, r, store, local_open))
+    rows = reduce(DataFrame.unionByName, rows)
+    groups = rows.groupBy("owner").agg(F.count(F.lit(1)).alias("m"), F.sum("num_points").alias("total"), *weighed("x"), *weighed("y"))
     groups = groups.where((F.col("m") > 1) & (F.col("total") >= min_points))
     none = F.lit(float("nan"))
-    merged = store(groups.select("owner", F.col("owner").alias("ms"), ids.encode(F.col("owner"), zoom, num_rows).alias("node_id"), (F.col("wx") / F.col("total")).alias("x"), (F.col("wy") / F.col("total")).alias("y"), F.col("total").alias("num_points"), none.alias("lng"), none.alias("lat")))
-    rows = store(nodes.join(place.select("x", "y", "owner"), ["x", "y"]).join(merged.select("owner", F.col("node_id").alias("parent_id")), "owner", "left"))
+    mean = lambda c: ((F.col(f"{c}1") * F.lit(2.0**-30) + F.col(f"{c}2") * F.lit(2.0**-60)) / F.col("total")).alias(c)
+    merged = store(groups.select("owner", F.col("owner").alias("ms"), ids.encode(F.col("owner"), zoom, num_rows).alias("node_id"), mean("x"), mean("y"), F.col("total").alias("num_points"), none.alias("lng"), none.alias("lat")))
+    parents = merged.select("owner", F.col("node_id").alias("parent_id"))
+    rows = rows.join(F.broadcast(parents) if open_ is None and found <= MOST_SENT else parents, "owner", "left")
+    rows = rows if open_ is None else store(rows)
     single = rows.where("parent_id is null").select("owner", F.col("seq").alias("ms"), "node_id", "x", "y", "num_points", "lng", "lat")
-    level = store(dense(merged.unionByName(single), ["owner", "ms"]).withColumn("tx", fround(F.col("x"))).withColumn("ty", fround(F.col("y"))).select(*COLUMNS))
-    return level, rows.select("seq", "parent_id")
+    level = placed(dense(merged.unionByName(single), ["owner", "ms"])).select(*COLUMNS)
+    return level, placed(rows)
 
 
 def dense(df: DataFrame, order: list[str]) -> DataFrame:

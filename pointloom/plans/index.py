@@ -64,17 +64,17 @@ class ClusterIndex:
         store = storage(spark)
         base = points(df, geometry, row_index, mask)
         base = base.select("row_idx", "lng", "lat", mercator.fround(mercator.lng_x(F.col("lng"))).alias("x"), mercator.fround(mercator.lat_y(F.col("lat"))).alias("y"))
-        base = store(base.select(F.col("row_idx").alias("node_id"), "x", "y", F.col("x").alias("tx"), F.col("y").alias("ty"), F.lit(1).cast("long").alias("num_points"), "lng", "lat"))
+        # Places are 32-bit numbers here, so they are stored as such.
+        base = store(base.select(F.col("row_idx").alias("node_id"), F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"), "lng", "lat"))
         n = base.count()
         done: list[DataFrame] = []
         zoom = options.max_zoom
-        level = base
+        level = as_nodes(base)
         if n > local_nodes:
-            level = store(levels.dense(base, ["node_id"]).select(*levels.COLUMNS))
+            level = as_nodes(levels.dense(base, ["node_id"])).select(*levels.COLUMNS)
             while zoom >= options.min_zoom and n > local_nodes:
-                finer = level
-                level, parents = levels.coarser(finer, zoom, options.radius, options.extent, options.min_points, num_rows, store, local_open)
-                done.append(store(finer.join(parents, "seq").select(F.lit(zoom + 1).alias("level"), *NODE_ORDER)))
+                level, finer = levels.coarser(level, n, zoom, options.radius, options.extent, options.min_points, num_rows, store, local_open)
+                done.append(finer.select(F.lit(zoom + 1).alias("level"), *NODE_ORDER))
                 zoom, n = zoom - 1, level.count()
         done.append(store(local_levels(level, zoom, options, num_rows)))
         nodes = done[0]
@@ -215,6 +215,12 @@ class ClusterIndex:
         return source.join(self.leaves(node_id).withColumnRenamed("row_idx", row_index), row_index, "left_semi")
 
 
+def as_nodes(base: DataFrame) -> DataFrame:
+    """Rows of the input as nodes of the finest level."""
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    return base.select("*", x.alias("tx"), y.alias("ty"), F.lit(1).cast("long").alias("num_points")).withColumns({"x": x, "y": y})
+
+
 NODE_ORDER = ["seq", "node_id", "x", "y", "tx", "ty", "num_points", "parent_id", "lng", "lat"]
 
 

@@ -20,7 +20,7 @@ def with_row_index(df: DataFrame, order_by: str | None = None, name: str = "row_
     rows = storage(df.sparkSession)(rows.withColumn("_at", F.monotonically_increasing_id()))
     sizes = rows.groupBy(F.shiftright("_at", 33).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     # A row a partition.
-    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    before = storage(df.sparkSession)(sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before")))
     inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     rows = rows.withColumn("_p", F.shiftright("_at", 33)).join(before, "_p").withColumn(name, F.col("_before") + inside)
     return rows.drop("_at", "_p", "_before")

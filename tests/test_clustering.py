@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.functions import style
-from pointloom.operators import local
+from pointloom.operators import levels, local
 from pointloom.plans.index import ClusterIndex, Options
 
 
@@ -107,6 +107,32 @@ def test_joins_finish_long_chains(spark):
     pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)
 
 
+def shuffled_rows(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_dense_levels_are_not_shuffled(spark):
+    """A level whose nodes lie near few origins is built by scans: its nodes are sorted once, and no join deals them."""
+    rows = spark.range(20_000).select(F.col("id").alias("row_idx"), (F.col("id") * 7919 % 3571 / 10.0 - 178).alias("lng"), (F.col("id") * 104729 % 1601 / 10.0 - 80).alias("lat"))
+    before = shuffled_rows(spark)
+    nodes = ClusterIndex.build(rows, ("lng", "lat"), "row_idx", options=Options(radius=75, max_zoom=1), local_nodes=5000).nodes
+    assert nodes.where("level = 1").agg(F.sum("num_points")).first()[0] == 20_000
+    assert shuffled_rows(spark) - before < 2 * 20_000
+
+
+@pytest.mark.parametrize("min_points", [2, 4])
+@pytest.mark.parametrize("first", [7, 60])
+def test_first_nodes_by_rounds(spark, monkeypatch, min_points, first):
+    """Levels of which the first nodes are decided apart equal those of one task, whether rounds end or hand on."""
+    monkeypatch.setattr(levels, "FIRST", first)
+    rows = uniform(400) + [(400 + k, [10.0, 20.0]) for k in range(6)]
+    for zoom in (1, 3):
+        o = Options(radius=75, max_zoom=zoom, min_zoom=max(0, zoom - 1), min_points=min_points)
+        a, b = (ClusterIndex.build(table(spark, rows), row_index="row_idx", options=o, local_nodes=n, local_open=100).nodes.toPandas().sort_values(["level", "seq"]).reset_index(drop=True) for n in (10**6, 0))
+        pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)
+
+
 def test_dense_nodes_are_not_paired(monkeypatch):
     """Rounds over cells give the origins that all pairs give."""
     rng = np.random.default_rng(2)

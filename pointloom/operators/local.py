@@ -86,6 +86,61 @@ def decide(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return state != 2
 
 
+def certain(x, y, tx, ty, r: float, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What is sure of nodes given in order, where ``edge`` marks those that nodes not given may reach.
+
+    (state: 0 unknown, 1 origin, 2 covered; first sure origin that reaches a node, itself for an origin, n for none;
+    whether an unknown node before that may take it; whether no other node can belong to it).
+    """
+    n = len(x)
+    state, none = np.zeros(n, np.int8), np.full(n, n, np.int64)
+    grid = Grid(tx, ty, r)
+    asked = grid.ask(x, y)
+    if asked[1] > MOST_PAIRS:
+        return state, none, np.zeros(n, bool), np.zeros(n, bool)
+    src, dst = pairs(x, y, tx, ty, r, asked, grid)
+    s, d = src, dst
+    for _ in range(ROUNDS):
+        waits = edge.copy()
+        waits[d] = True
+        new = (state == 0) & ~waits
+        if not new.any():
+            break
+        state[new] = 1
+        state[d[new[s]]] = 2
+        live = (state[s] == 0) & (state[d] == 0)
+        s, d = s[live], d[live]
+    else:
+        order = np.argsort(d, kind="stable")
+        s, d = s[order], d[order]
+        nodes, first = np.unique(d, return_index=True)
+        where = {int(k): (int(a), int(b)) for k, a, b in zip(nodes, first, np.append(first[1:], len(d)))}
+        for k in np.flatnonzero(state == 0).tolist():
+            a, b = where.get(k, (0, 0))
+            before = state[s[a:b]]
+            if (before == 1).any():
+                state[k] = 2
+            elif not edge[k] and not (before == 0).any():
+                state[k] = 1
+    best, doubt = none, none.copy()
+    own = state == 1
+    hit = own[src]
+    np.minimum.at(best, dst[hit], src[hit])
+    best[own] = np.flatnonzero(own)
+    hit = state[src] == 0
+    np.minimum.at(doubt, dst[hit], src[hit])
+    unsure = (state == 2) & (doubt < best)
+    alone = own.copy()
+    alone[src[(best[dst] == src) | unsure[dst] | (state[dst] == 0)]] = False
+    return state, best, unsure, alone
+
+
+def any_near(x, y, tx, ty, r: float, asking: np.ndarray) -> bool:
+    """Whether one of these nodes reaches another one."""
+    grid = Grid(tx, ty, r)
+    return grid.ask(x[asking], y[asking])[1] > MOST_PAIRS or any((asking[s] != d).any() for s, d in grid.near(x[asking], y[asking]))
+
+
 def origins(x, y, tx, ty, r: float) -> np.ndarray:
     """Which nodes, given in order, are origins: all pairs where they are few, else rounds in which only the first open node of a cell is looked at."""
     kept, open_ = np.zeros(len(x), bool), np.arange(len(x))

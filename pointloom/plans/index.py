@@ -72,11 +72,16 @@ class ClusterIndex:
         level = as_nodes(base)
         if n > local_nodes:
             level = as_nodes(levels.dense(base, ["node_id"])).select(*levels.COLUMNS)
+            sparse = False
             while zoom >= options.min_zoom and n > local_nodes:
-                level, finer = levels.coarser(level, n, zoom, options.radius, options.extent, options.min_points, num_rows, store, local_open)
-                done.append(finer.select(F.lit(zoom + 1).alias("level"), *NODE_ORDER))
-                zoom, n = zoom - 1, level.count()
-        done.append(store(local_levels(level, zoom, options, num_rows)))
+                level, finer, same, sparse = levels.coarser(level, n, zoom, options.radius, options.extent, options.min_points, num_rows, store, local_open, sparse)
+                for z in range(zoom, max(zoom - same, options.min_zoom) - 1, -1):
+                    done.append(finer.select(F.lit(z + 1).alias("level"), *NODE_ORDER))
+                zoom, n = z - 1, level.count()
+        if n > local_nodes:
+            done.append(level.select(F.lit(zoom + 1).alias("level"), *[F.lit(None).cast("long").alias(c) if c == "parent_id" else c for c in NODE_ORDER]))
+        else:
+            done.append(store(local_levels(level, zoom, options, num_rows)))
         nodes = done[0]
         for more in done[1:]:
             nodes = nodes.unionByName(more)

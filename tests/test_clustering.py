@@ -133,6 +133,48 @@ def test_first_nodes_by_rounds(spark, monkeypatch, min_points, first):
         pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)
 
 
+def both_ways(spark, rows, o, **more):
+    a, b = (ClusterIndex.build(table(spark, rows), row_index="row_idx", options=o, local_nodes=n, **more).nodes.toPandas().sort_values(["level", "seq"]).reset_index(drop=True) for n in (10**6, 0))
+    pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)
+
+
+@pytest.mark.parametrize("min_points", [2, 4])
+def test_tiles(spark, monkeypatch, min_points):
+    """Tiles equal one task, with groups and copies across their borders."""
+    used = []
+    by_tiles = levels.by_tiles
+    monkeypatch.setattr(levels, "by_tiles", lambda *a: used.append(by_tiles(*a)) or used[-1])
+    monkeypatch.setattr(levels, "FIRST", 20)
+    monkeypatch.setattr(levels, "TILE", 10)
+    rows = uniform(1500) + [(1500 + k, [k % 3 * 45.0 - 0.001 * (k % 2), 0.0]) for k in range(30)]
+    both_ways(spark, rows, Options(radius=60, max_zoom=6, min_zoom=4, min_points=min_points))
+    assert [v is not None for v in used] == [True] * 3
+
+
+def test_tiles_chain(spark, monkeypatch):
+    """What waits for nodes beyond a tile's surroundings is decided with the rest of the chain."""
+    monkeypatch.setattr(levels, "FIRST", 20)
+    monkeypatch.setattr(levels, "TILE", 10)
+    both_ways(spark, [(i, [i * 0.05 - 40, 0.0]) for i in range(1600)], Options(radius=60, max_zoom=9, min_zoom=8))
+
+
+def test_tiles_too_dense(spark, monkeypatch):
+    """Nodes of which no tile takes all that are near are left to the rounds by joins."""
+    monkeypatch.setattr(levels, "FIRST", 5)
+    monkeypatch.setattr(levels, "MOST_TILE", 50)
+    both_ways(spark, [(i, [i % 20 * 0.5, i // 20 * 0.5]) for i in range(200)], Options(radius=60, max_zoom=6, min_zoom=6))
+
+
+def test_sparse_levels_are_dealt_once(spark, monkeypatch):
+    """Sixteen sparse levels: a deal by place and counts for every few zooms, a sort where something merges."""
+    monkeypatch.setattr(levels, "FIRST", 500)
+    rows = spark.range(20_000).select(F.col("id").alias("row_idx"), (F.col("id") * 7919 % 20011 / 57.0 - 175).alias("lng"), (F.col("id") * 104729 % 19997 / 125.0 - 80).alias("lat"))
+    before = shuffled_rows(spark)
+    idx = ClusterIndex.build(rows, ("lng", "lat"), "row_idx", options=Options(max_zoom=24, min_zoom=9), local_nodes=5000)
+    assert idx.nodes.groupBy("level").agg(F.sum("num_points").alias("n")).where("n = 20000").count() == 17
+    assert shuffled_rows(spark) - before < 17 * 2 * 20_000
+
+
 def test_dense_nodes_are_not_paired(monkeypatch):
     """Rounds over cells give the origins that all pairs give."""
     rng = np.random.default_rng(2)

@@ -71,7 +71,7 @@ class ClusterIndex:
         zoom = options.max_zoom
         level = as_nodes(base)
         if n > local_nodes:
-            level = as_nodes(levels.dense(base, ["node_id"])).select(*levels.COLUMNS)
+            level = as_nodes(in_order(base, n)).select(*levels.COLUMNS)
             sparse = False
             while zoom >= options.min_zoom and n > local_nodes:
                 level, finer, same, sparse = levels.coarser(level, n, zoom, options.radius, options.extent, options.min_points, num_rows, store, local_open, sparse)
@@ -226,6 +226,16 @@ def as_nodes(base: DataFrame) -> DataFrame:
     return base.select("*", x.alias("tx"), y.alias("ty"), F.lit(1).cast("long").alias("num_points")).withColumns({"x": x, "y": y})
 
 
+def in_order(base: DataFrame, n: int) -> DataFrame:
+    """Rows with ``seq``, their rank by node_id: that itself where it is found to be each of 0 to n - 1 once, else by sorting."""
+    ends = base.agg(F.min("node_id"), F.max("node_id")).first()
+    if tuple(ends) == (0, n - 1):
+        seen = base.groupBy(F.bitmap_bucket_number("node_id").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("node_id")).alias("b"))
+        if seen.agg(F.sum(F.bitmap_count("b"))).first()[0] == n:
+            return base.withColumn("seq", F.col("node_id"))
+    return levels.dense(base, ["node_id"])
+
+
 NODE_ORDER = ["seq", "node_id", "x", "y", "tx", "ty", "num_points", "parent_id", "lng", "lat"]
 
 

@@ -133,6 +133,17 @@ def test_first_nodes_by_rounds(spark, monkeypatch, min_points, first):
         pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)
 
 
+def test_dense_row_indexes_are_not_sorted(spark):
+    """Rows whose indexes are 0 to n - 1 in any order are numbered already; others are sorted."""
+    order = np.random.default_rng(3).permutation(20_000).tolist()
+    rows = table(spark, [(i, [i * 7919 % 3571 / 10.0 - 178, i * 104729 % 1601 / 10.0 - 80]) for i in order])
+    before = shuffled_rows(spark)
+    ClusterIndex.build(rows, row_index="row_idx", options=Options(radius=75, max_zoom=1), local_nodes=5000).nodes.count()
+    assert shuffled_rows(spark) - before < 10_000
+    for ids in ([3, 1, 1, 0], [0, 2, 3, 9], [0, 0, 3, 3], [2, 0, 3, 1]):
+        both_ways(spark, [(k, [10.0 * k, 1.0]) for k in ids], Options(max_zoom=2))
+
+
 def both_ways(spark, rows, o, **more):
     a, b = (ClusterIndex.build(table(spark, rows), row_index="row_idx", options=o, local_nodes=n, **more).nodes.toPandas().sort_values(["level", "seq"]).reset_index(drop=True) for n in (10**6, 0))
     pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)

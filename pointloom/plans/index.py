@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -174,18 +175,22 @@ class ClusterIndex:
         return self.view(self.nodes.where((F.col("level") == self.origin_zoom(cluster_id)) & (F.col("parent_id") == cluster_id)))
 
     def below(self, cluster_id: int) -> DataFrame:
-        """Every node under a cluster: (id, num_points, path), path being the places from the top down."""
-        links = self.nodes.where("parent_id is not null").select("parent_id", F.col("node_id").alias("id"), "seq", "num_points")
-        front = links.where(F.col("parent_id") == cluster_id).select("id", "num_points", F.array("seq").alias("path"))
-        out, store = front, storage(self.nodes.sparkSession)
+        """Every node under a cluster: (id, num_points, path), path being the places from the top down.
+
+        Only the levels at which clusters of the last step fell apart are read for the next one, and every step is read as stored.
+        """
+        links = self.nodes.where("parent_id is not null").select("level", "parent_id", F.col("node_id").alias("id"), "seq", "num_points")
+        front = links.where((F.col("level") == self.origin_zoom(cluster_id)) & (F.col("parent_id") == cluster_id)).select("id", "num_points", F.array("seq").alias("path"))
+        out, store = [], storage(self.nodes.sparkSession)
         for _ in range(self.options.max_zoom + 1 - self.options.min_zoom):
             front = store(front)
+            out.append(front)
             inner = front.where("num_points > 1").select(F.col("id").alias("parent_id"), "path")
-            if inner.isEmpty():
+            parts = [r[0] for r in inner.select(ids.origin_zoom(F.col("parent_id"), self.num_rows)).distinct().collect()]
+            if not parts:
                 break
-            front = links.join(inner, "parent_id").select("id", "num_points", F.array_append("path", F.col("seq")).alias("path"))
-            out = out.unionByName(front)
-        return out
+            front = links.where(F.col("level").isin(parts)).join(inner, "parent_id").select("id", "num_points", F.array_append("path", F.col("seq")).alias("path"))
+        return reduce(DataFrame.unionByName, out)
 
     def descendants(self, cluster_id: int) -> DataFrame:
         return self.below(cluster_id).select("id")

@@ -223,6 +223,22 @@ def test_hierarchy(spark):
     assert v.where(F.col("id") == c["id"]).first()["fill_color"] == [255, 140, 0, 230]
 
 
+def rows_read(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(k).inputRecords() for k in range(stages.size()))
+
+
+def test_leaves_read_each_level_once(spark):
+    """Under a cluster a step reads the levels it needs, not all of them, and is not worked out a second time for the result."""
+    rows = spark.range(20_000).select(F.col("id").alias("row_idx"), (F.col("id") * 7919 % 3571 / 10.0 - 178).alias("lng"), (F.col("id") * 104729 % 1601 / 10.0 - 80).alias("lat"))
+    a, b = (ClusterIndex.build(rows, ("lng", "lat"), "row_idx", options=Options(radius=75, max_zoom=3), local_nodes=n) for n in (10**6, 1000))
+    best = b.nodes.where("level = 0").orderBy(F.desc("num_points"), "node_id").first()
+    before = rows_read(spark)
+    found = [r[0] for r in b.leaves(best["node_id"]).collect()]
+    assert rows_read(spark) - before < 4 * 20_000
+    assert len(found) == best["num_points"] and found == [r[0] for r in a.leaves(best["node_id"]).collect()]
+
+
 def test_mask_keeps_ids_of_rows(spark):
     idx = build(spark, uniform(200), mask=F.col("row_idx") >= 50, radius=75, max_zoom=3)
     assert idx.indexed_point_count() == 150 and idx.num_rows == 200

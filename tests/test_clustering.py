@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import style
 from pointloom.operators import levels, local
+from pointloom.plans import queries
 from pointloom.plans.index import ClusterIndex, Options
 
 
@@ -296,3 +297,28 @@ def test_saved_levels_are_read_back(spark, tmp_path):
     again = ClusterIndex.load(spark, f"file://{tmp_path}/nodes")
     assert again.num_rows == 60 and again.options == idx.options
     assert again.world(1).count() == idx.world(1).count()
+
+
+#: Queries whose index is that of all points, zooms 0 to 4.
+INDEX_QUERIES = [
+    "geometry_struct",
+]
+
+
+@pytest.fixture(scope="module")
+def orders(spark, tmp_path_factory):
+    path = f"file://{tmp_path_factory.mktemp('orders')}"
+    rows = spark.range(30_000).select(F.col("id").alias("o_orderkey"), (F.col("id") * 7919 % 3001).alias("o_custkey"), F.concat(F.lit("p"), F.col("id") % 5).alias("o_orderpriority"))
+    rows.write.parquet(f"{path}/orders.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", INDEX_QUERIES)
+def test_index_queries_deal_no_points(spark, monkeypatch, orders, name):
+    """A query over an index too large for one task deals its points by no join, and returns what one task gives."""
+    query, build = queries.queries()[name], ClusterIndex.build
+    want = sorted(map(str, query(spark, orders).collect()))
+    monkeypatch.setattr(ClusterIndex, "build", lambda *a, **more: build(*a, **more, local_nodes=20_000))
+    before = shuffled_rows(spark)
+    assert sorted(map(str, query(spark, orders).collect())) == want
+    assert shuffled_rows(spark) - before < 2 * 30_000

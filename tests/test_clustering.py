@@ -302,6 +302,7 @@ def test_saved_levels_are_read_back(spark, tmp_path):
 #: Queries whose index is that of all points, zooms 0 to 4.
 INDEX_QUERIES = [
     "geometry_struct",
+    "pick_point",
 ]
 
 

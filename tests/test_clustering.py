@@ -303,6 +303,7 @@ def test_saved_levels_are_read_back(spark, tmp_path):
 INDEX_QUERIES = [
     "geometry_struct",
     "pick_point",
+    "unknown_children",
 ]
 
 

@@ -304,6 +304,7 @@ INDEX_QUERIES = [
     "geometry_struct",
     "pick_point",
     "unknown_children",
+    "zoom_extremes",
 ]
 
 

@@ -305,6 +305,7 @@ INDEX_QUERIES = [
     "pick_point",
     "unknown_children",
     "zoom_extremes",
+    "cluster_hierarchy_counts",
 ]
 
 

@@ -306,6 +306,7 @@ INDEX_QUERIES = [
     "unknown_children",
     "zoom_extremes",
     "cluster_hierarchy_counts",
+    "empty_view",
 ]
 
 

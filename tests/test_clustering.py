@@ -307,6 +307,7 @@ INDEX_QUERIES = [
     "zoom_extremes",
     "cluster_hierarchy_counts",
     "empty_view",
+    "layer_fly_to",
 ]
 
 

@@ -308,6 +308,7 @@ INDEX_QUERIES = [
     "cluster_hierarchy_counts",
     "empty_view",
     "layer_fly_to",
+    "pick_none",
 ]
 
 

@@ -309,6 +309,7 @@ INDEX_QUERIES = [
     "empty_view",
     "layer_fly_to",
     "pick_none",
+    "styled_view",
 ]
 
 

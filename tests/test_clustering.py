@@ -310,6 +310,7 @@ INDEX_QUERIES = [
     "layer_fly_to",
     "pick_none",
     "styled_view",
+    "zoom_clamp",
 ]
 
 

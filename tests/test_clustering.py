@@ -311,6 +311,7 @@ INDEX_QUERIES = [
     "pick_none",
     "styled_view",
     "zoom_clamp",
+    "bbox_latitude_clamp",
 ]
 
 

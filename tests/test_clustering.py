@@ -312,6 +312,7 @@ INDEX_QUERIES = [
     "styled_view",
     "zoom_clamp",
     "bbox_latitude_clamp",
+    "cluster_level",
 ]
 
 

@@ -313,6 +313,7 @@ INDEX_QUERIES = [
     "zoom_clamp",
     "bbox_latitude_clamp",
     "cluster_level",
+    "bbox_antimeridian",
 ]
 
 

@@ -314,6 +314,7 @@ INDEX_QUERIES = [
     "bbox_latitude_clamp",
     "cluster_level",
     "bbox_antimeridian",
+    "bbox_points_raw",
 ]
 
 

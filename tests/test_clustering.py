@@ -315,6 +315,7 @@ INDEX_QUERIES = [
     "cluster_level",
     "bbox_antimeridian",
     "bbox_points_raw",
+    "leaves_limit_zero",
 ]
 
 

@@ -316,6 +316,7 @@ INDEX_QUERIES = [
     "bbox_antimeridian",
     "bbox_points_raw",
     "leaves_limit_zero",
+    "leaves_page",
 ]
 
 
